@@ -34,8 +34,9 @@ def backtest_splits(
         "y",
         F.row_number().over(whole.orderBy("ds")).alias("at"),
         F.count(F.lit(1)).over(whole).alias("dates"),
-        F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"),
     )
+    # Only now one copy per fold: a generator beside windows would run before them.
+    cells = cells.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     tested, trained = _fold_sizes(F.col("dates"), F.col("fold"), folds, test_size)
     role = F.when(F.col("at") <= trained, F.lit("train")).when(
         F.col("at") <= trained + tested, F.lit("test")

@@ -19,6 +19,7 @@ from caseload.operators.metrics import evaluate, with_score
 from caseload.operators.prepare import prepare, split_by_history
 from caseload.operators.selection import best_model
 from caseload.operators.series import union_years
+from caseload.session import materialise
 
 # Raw indicator names given to the order priorities; the last one is no key indicator.
 PRIORITY_LABELS = {
@@ -30,15 +31,23 @@ PRIORITY_LABELS = {
 }
 
 
+# Added before rounding for comparison: above summation noise, below the last place.
+NUDGE = 1e-9
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to a fixed number of places, so that two engines agree on the text."""
+    """Doubles to a fixed number of places, so that two engines agree on the text.
+
+    The nudge keeps exact halves, which sums in another order may miss by a hair,
+    on the same side in both.
+    """
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), places).alias(f.name)
+            F.round(F.col(f"`{f.name}`") + NUDGE, places).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -115,40 +124,44 @@ def closed_forecasts(df: DataFrame) -> DataFrame:
     """Forecast rows of three models in closed form, so that SQL can check the plumbing.
 
     ARIMA is the random walk; RandomForest the mean of the calendar month;
-    Prophet a straight line through the months.
+    Prophet a straight line through the months. All windows share the walk's
+    partitioning on the indicator: one shuffle, no join.
     """
-    walk = random_walk(df).select("service", "model", "ds", "y", "yhat", "kind")
     whole = Window.partitionBy("service")
-    same_month = Window.partitionBy("service", F.month("ds"))
-    x = month_index(F.col("ds")).cast("double")
-    lines = df.groupBy("service").agg(
-        F.regr_slope("y", x).alias("slope"), F.regr_intercept("y", x).alias("intercept")
-    )
-    dates = walk.select("service", "ds", "y", "kind")
-    seasonal = dates.select(
+    same_month = Window.partitionBy("service", "month")
+    at = month_index(F.col("ds")).cast("double")
+    walk = random_walk(df).select("service", "ds", "y", "yhat", "kind", F.month("ds").alias("month"))
+    placed = walk.withColumn("x", at).select(
         "service",
-        F.lit("RandomForest").alias("model"),
         "ds",
         "y",
-        F.coalesce(F.avg("y").over(same_month), F.avg("y").over(whole)).alias("yhat"),
         "kind",
+        "yhat",
+        F.coalesce(F.avg("y").over(same_month), F.avg("y").over(whole)).alias("seasonal"),
+        (
+            F.regr_intercept("y", "x").over(whole) + F.regr_slope("y", "x").over(whole) * F.col("x")
+        ).alias("straight"),
     )
-    straight = dates.join(lines, "service").select(
-        "service",
-        F.lit("Prophet").alias("model"),
-        "ds",
-        "y",
-        (F.col("intercept") + F.col("slope") * month_index(F.col("ds"))).alias("yhat"),
-        "kind",
+    models = F.array(
+        *[
+            F.struct(F.lit(name).alias("model"), F.col(column).alias("yhat"))
+            for name, column in (
+                ("ARIMA", "yhat"), ("RandomForest", "seasonal"), ("Prophet", "straight"),
+            )
+        ]
     )
-    return walk.unionByName(seasonal).unionByName(straight)
+    return placed.select("service", "ds", "y", "kind", F.inline(models))
 
 
 def closed_tables(spark: SparkSession, sf_dir: str) -> ForecastTables:
-    """Result tables of the closed-form models over the mixed series."""
-    history = mixed_series(spark, sf_dir)
+    """Result tables of the closed-form models over the mixed series.
+
+    The monthly series and the forecasts feed many tables: both are written once,
+    so the shipments and orders are scanned once per run.
+    """
+    history = materialise(mixed_series(spark, sf_dir), "series")
     eligible, short = split_by_history(history)
-    forecasts = closed_forecasts(eligible)
+    forecasts = materialise(closed_forecasts(eligible), "closed")
     none = F.lit(None).cast("string")
     metrics = with_score(evaluate(forecasts.where(F.col("kind") == "fitted"))).withColumn("error", none)
     rejected = short.select(
@@ -297,7 +310,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def sql(body: str, *names: str, places: dict[str, int] | None = None, doubles: str = "") -> str:
+def sql(body: str, *names: str, doubles: str = "") -> str:
     """A query over the named CTEs; ``doubles`` lists the columns to round."""
     needed: list[str] = []
 
@@ -311,9 +324,8 @@ def sql(body: str, *names: str, places: dict[str, int] | None = None, doubles: s
         need(name)
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in needed) if needed else ""
     if doubles:
-        digits = places or {}
         changes = ", ".join(
-            f'round("{c}", {digits.get(c, 6)}) AS "{c}"' for c in (d.strip() for d in doubles.split(","))
+            f'round("{c}" + {NUDGE}, 6) AS "{c}"' for c in (d.strip() for d in doubles.split(","))
         )
         body = f"SELECT * REPLACE ({changes}) FROM ({body})"
     return f"{head}\n{body}"
