@@ -44,7 +44,9 @@ class ForecastTables(NamedTuple):
     selection: DataFrame
 
 
-def series_arrays(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def series_arrays(
+    df: DataFrame, partitions: int | None = None, unique_dates: bool = False
+) -> DataFrame:
     """One row per indicator with its dates, counts, means and squares as arrays.
 
     Rows combine to one per date before the shuffle, so an array is as long as
@@ -52,7 +54,7 @@ def series_arrays(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     partitions = partitions or compute_partitions(df.sparkSession)
     return (
-        dated_cells(df)
+        dated_cells(df, unique_dates)
         .repartition(partitions, "service")
         .groupBy("service")
         .agg(F.sort_array(F.collect_list(F.struct("ds", "n", "y", "yy"))).alias("cells"))
@@ -191,10 +193,10 @@ def forecast(
     ``df`` has ``service, ds, y``. ``horizon`` overrides the months implied by
     ``target_year``. The fits run once, here, and are written to the shared
     folder; every table of the result is derived from that copy.
-    ``unique_dates`` promises one row per indicator and date, which saves the
-    join that scores rows sharing a date.
+    ``unique_dates`` promises one row per indicator and date, which saves a
+    shuffle and the join that scores rows sharing a date.
     """
-    series = series_arrays(df)
+    series = series_arrays(df, unique_dates=unique_dates)
     months = (
         F.lit(horizon)
         if horizon
@@ -224,6 +226,7 @@ def random_walk(
     horizon: int | None = None,
     target_year: int | None = None,
     model: str = "ARIMA",
+    unique_dates: bool = False,
 ) -> DataFrame:
     """MOD-4: ARIMA(0,1,0) without any Python: previous value, then the last one.
 
@@ -231,7 +234,7 @@ def random_walk(
     both the lag and the future rows, which hang on each series' last row.
     """
     series = Window.partitionBy("service").orderBy("ds")
-    cells = dated_cells(df).select(
+    cells = dated_cells(df, unique_dates).select(
         "service",
         "ds",
         "y",

@@ -96,13 +96,17 @@ def series_bounds(df: DataFrame) -> DataFrame:
     """WIN-4/5: first and last date and last value per indicator.
 
     Several rows on the last date: the largest value is taken, so the answer
-    does not depend on row order.
+    does not depend on row order. Reduced per date first, with plain numbers in
+    the buffers, so that no row has to be sorted.
     """
-    return df.groupBy("service").agg(
+    dates = df.groupBy("service", "ds").agg(
+        F.count(F.lit(1)).alias("n"), F.max("y").alias("y")
+    )
+    return dates.groupBy("service").agg(
         F.min("ds").alias("first_ds"),
         F.max("ds").alias("last_ds"),
-        F.max_by("y", F.struct("ds", "y")).alias("last_y"),
-        F.count(F.lit(1)).alias("rows"),
+        F.max_by("y", "ds").alias("last_y"),
+        F.sum("n").alias("rows"),
     )
 
 
@@ -119,12 +123,18 @@ def by_date(df: DataFrame, date: str = "date") -> DataFrame:
     return df.orderBy(date)
 
 
-def dated_cells(df: DataFrame) -> DataFrame:
+def dated_cells(df: DataFrame, unique_dates: bool = False) -> DataFrame:
     """One row per indicator and date with row count, mean and sum of squares.
 
     Combines before the shuffle, so a hot indicator shrinks to its number of
-    distinct dates; that bounds every per-series step behind it.
+    distinct dates; that bounds every per-series step behind it. The caller may
+    promise ``unique_dates`` where one row per date is known; then no shuffle is
+    needed here.
     """
+    if unique_dates:
+        return df.select(
+            "service", "ds", F.lit(1).cast("bigint").alias("n"), "y", (F.col("y") * F.col("y")).alias("yy")
+        )
     return df.groupBy("service", "ds").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("y").alias("y"),

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload.functions.rules import DEFAULT_YEAR, HEADER_MONTHS, LABEL_WORDS, MONTH_SPELLINGS
 from caseload.functions.text import (
@@ -58,39 +59,38 @@ def read_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8
 def _headers(lines: DataFrame, sep: str, header_rows: int) -> DataFrame:
     """One row per file: where its header row is, or null if it has none in time.
 
-    The row number of the header is rebuilt from per-split line counts, so only
-    two aggregates per split leave the scan.
+    The row number of the header is rebuilt from the line count of every file
+    split. Counting keeps only numbers per split, so it is a hash aggregate over
+    the scan; texts are kept for the few candidate lines alone.
     """
-    cells = split_cells(F.col("line"), sep)
-    is_header = F.exists(cells, lambda c: F.upper(strip(c)).isin(*HEADER_MONTHS))
-    splits = (
-        lines.select("file", "block", "pos", F.when(is_header, F.col("line")).alias("header"))
-        .groupBy("file", "block")
-        .agg(
-            F.min("pos").alias("first_pos"),
-            F.count(F.lit(1)).alias("line_count"),
-            F.min(F.when(F.col("header").isNotNull(), F.struct("pos", "header"))).alias("hit"),
-        )
+    splits = lines.groupBy("file", "block").agg(
+        F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("line_count")
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    row_no = F.coalesce(F.sum("line_count").over(earlier), F.lit(0)) + (
-        F.col("hit.pos") - F.col("first_pos")
+    splits = splits.withColumn(
+        "rows_before", F.coalesce(F.sum("line_count").over(earlier), F.lit(0))
     )
-    found = F.when(
-        row_no < header_rows,
-        F.struct("block", F.col("hit.pos").alias("pos"), F.col("hit.header").alias("line")),
+    is_header = F.exists(
+        split_cells(F.col("line"), sep), lambda c: F.upper(strip(c)).isin(*HEADER_MONTHS)
     )
-    return (
-        splits.withColumn("found", found)
+    first = (
+        lines.where(is_header)
         .groupBy("file")
-        .agg(F.min("found").alias("header"))
+        .agg(F.min(F.struct("block", "pos", "line")).alias("header"))
+        .select("file", "header.*")
+    )
+    row_no = F.col("rows_before") + F.col("pos") - F.col("first_pos")
+    in_time = (
+        splits.join(first, ["file", "block"])
+        .where(row_no < header_rows)
         .select(
             "file",
-            F.col("header.block").alias("header_block"),
-            F.col("header.pos").alias("header_pos"),
-            split_cells(F.col("header.line"), sep).alias("names"),
+            F.col("block").alias("header_block"),
+            F.col("pos").alias("header_pos"),
+            split_cells(F.col("line"), sep).alias("names"),
         )
     )
+    return splits.select("file").distinct().join(in_time, "file", "left")
 
 
 def _described(headers: DataFrame, default_year: int) -> DataFrame:
@@ -269,22 +269,28 @@ def matrix_to_long(
     ``months`` names the value columns; names that are no month are ignored,
     none at all or two columns of one month are refused.
     """
-    numbers = [MONTH_OF.get(name.strip().upper()) for name in months]
-    known = [n for n in numbers if n]
-    if not known or len(set(known)) < len(known):
+    numbers = {name: MONTH_OF.get(name.strip().upper()) for name in months}
+    known = {name: n for name, n in numbers.items() if n}
+    if not known or len(set(known.values())) < len(known):
         raise ValueError(f"need distinct month columns, got {list(months)}")
-    unpivoted = df.withColumn("year", F.lit(year) if isinstance(year, int) else year).unpivot(
-        [label, "year"], list(months), "month_name", "value"
-    )
-    value = F.col("value")
-    kind = unpivoted.schema["value"].dataType.simpleString()
-    amount = numeric(value, 0) if kind == "string" else at_least(value.cast("double"), 0)
+
+    def amount(name: str) -> Column:
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        cell = F.col(f"`{name}`")
+        return numeric(cell, 0) if is_text else at_least(cell.cast("double"), 0)
+
+    # An array of (month, value) pairs per row: month numbers are constants here.
+    pairs = [
+        F.struct(F.lit(n).alias("month"), amount(name).alias("valeur"))
+        for name, n in known.items()
+    ]
     return (
-        unpivoted.where(~is_blank(F.col(label)))
+        df.where(~is_blank(F.col(label)))
         .select(
-            month_start(F.col("year"), month_number(F.col("month_name"))).alias("date"),
             F.col(label).alias("SERVICE"),
-            amount.alias("valeur"),
+            (F.lit(year) if isinstance(year, int) else year).alias("year"),
+            F.inline(F.array(*pairs)),
         )
+        .select(month_start(F.col("year"), F.col("month")).alias("date"), "SERVICE", "valeur")
         .dropna(subset=["valeur", "date"])
     )

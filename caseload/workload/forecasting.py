@@ -34,7 +34,7 @@ from caseload.operators.prepare import prepare
 
 def _fitted(df: DataFrame, models, min_rows: int = 12) -> DataFrame:
     ahead = F.transform(month_ends_after(F.col("last_ds"), F.lit(12)), F.unix_date)
-    return fit_series(series_arrays(df).withColumn("future", ahead), models, min_rows)
+    return fit_series(series_arrays(df, unique_dates=True).withColumn("future", ahead), models, min_rows)
 
 
 def one_model(name: str, fit):
@@ -48,7 +48,7 @@ def one_model(name: str, fit):
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-4."""
-    return random_walk(supplier_series(spark, sf_dir)).drop("error")
+    return random_walk(supplier_series(spark, sf_dir), unique_dates=True).drop("error")
 
 
 def walk_before_year(spark: SparkSession, sf_dir: str) -> DataFrame:

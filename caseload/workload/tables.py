@@ -130,7 +130,7 @@ def closed_forecasts(df: DataFrame) -> DataFrame:
     whole = Window.partitionBy("service")
     same_month = Window.partitionBy("service", "month")
     at = month_index(F.col("ds")).cast("double")
-    walk = random_walk(df).select("service", "ds", "y", "yhat", "kind", F.month("ds").alias("month"))
+    walk = random_walk(df, unique_dates=True).select("service", "ds", "y", "yhat", "kind", F.month("ds").alias("month"))
     placed = walk.withColumn("x", at).select(
         "service",
         "ds",
