@@ -97,12 +97,19 @@ def trend_seasonality(days, y, n, yy, future, multiplicative=False) -> Fit:
 TREES, SEED = 100, 42
 
 
-def _prefix(grid: np.ndarray) -> np.ndarray:
-    return np.pad(grid.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+def _cut_gain(weight, total, start, stop):
+    """Between-part variance of every cut of a strip, -1 where a side is empty.
 
-
-def _box(p, tree, m0, m1, a0, a1):
-    return p[tree, m1, a1] - p[tree, m0, a1] - p[tree, m1, a0] + p[tree, m0, a0]
+    ``weight`` and ``total`` are running sums along the strips; outside a node's
+    own range one side has no positive weight, so those cuts drop out by themselves.
+    """
+    at = np.arange(len(start))
+    w0, s0 = weight[at, start], total[at, start]
+    whole_w, whole_s = (weight[at, stop] - w0)[:, None], (total[at, stop] - s0)[:, None]
+    w, s = weight[:, 1:-1] - w0[:, None], total[:, 1:-1] - s0[:, None]
+    both = w * (whole_w - w)
+    apart = s * whole_w - whole_s * w
+    return np.divide(apart * apart, both, out=np.full(both.shape, -1.0), where=both > 0)
 
 
 def calendar_forest(days, y, n, yy, future) -> Fit:
@@ -123,44 +130,46 @@ def calendar_forest(days, y, n, yy, future) -> Fit:
     rows = np.bincount(cell, n, 12 * years)
     mean = np.bincount(cell, n * y, 12 * years) / np.maximum(rows, 1)
     draws = np.random.default_rng(SEED).multinomial(int(rows.sum()), rows / rows.sum(), TREES)
-    shape = (TREES, 12, years)
-    weight = _prefix(draws.reshape(shape).astype(float))
-    total = _prefix((draws * mean).reshape(shape))
-    filled = _prefix((draws > 0).reshape(shape).astype(int))
-    month_cuts, year_cuts = np.arange(1, 12), np.arange(1, years)
+
+    def running_sums(grid):
+        cube = grid.reshape(TREES, 12, years).cumsum(1).cumsum(2)
+        by_year = np.pad(cube, ((0, 0), (1, 0), (1, 0)))
+        by_month = np.ascontiguousarray(by_year.transpose(0, 2, 1))
+        return by_year.reshape(-1, years + 1), by_month.reshape(-1, 13)
+
+    weight, weight_t = running_sums(draws.astype(float))
+    total, total_t = running_sums(draws * mean)
+    filled = running_sums((draws > 0).astype(float))[0].ravel()
     surface = np.zeros((13, years + 1))
     node = np.array([np.arange(TREES), *np.broadcast_to([[0], [12], [0], [years]], (4, TREES))])
+
+    def box(table, tree, m0, m1, a0, a1):
+        top, bottom = (tree * 13 + m1) * (years + 1), (tree * 13 + m0) * (years + 1)
+        return table.take(top + a1) - table.take(top + a0) - table.take(bottom + a1) + table.take(bottom + a0)
+
     while node.shape[1]:
-        leaf = _box(filled, *node) <= 1
+        leaf = box(filled, *node) < 2
         tree, m0, m1, a0, a1 = done = node[:, leaf]
-        value = _box(total, *done) / _box(weight, *done)
+        value = box(total.ravel(), *done) / box(weight.ravel(), *done)
         for rows_at, cols_at, sign in ((m0, a0, 1), (m1, a0, -1), (m0, a1, -1), (m1, a1, 1)):
             np.add.at(surface, (rows_at, cols_at), sign * value)
-        node = node[:, ~leaf]
-        if not node.shape[1]:
+        tree, m0, m1, a0, a1 = node[:, ~leaf]
+        if not len(tree):
             break
-        tree, m0, m1, a0, a1 = (part[:, None] for part in node)
-        # Both kinds of cut side by side: the left part of every candidate.
-        top = np.hstack([np.clip(month_cuts, m0, m1), np.repeat(m1, years - 1, 1)])
-        right = np.hstack([np.repeat(a1, 11, 1), np.clip(year_cuts, a0, a1)])
-        w_left, s_left = (_box(p, tree, m0, top, a0, right) for p in (weight, total))
-        w_right = _box(weight, *node)[:, None] - w_left
-        s_right = _box(total, *node)[:, None] - s_left
-        useful = (w_left > 0) & (w_right > 0)
-        gain = np.where(
-            useful,
-            s_left**2 / np.where(useful, w_left, 1) + s_right**2 / np.where(useful, w_right, 1),
-            -np.inf,
+        w, s = (p.take(tree * 13 + m1, 0) - p.take(tree * 13 + m0, 0) for p in (weight, total))
+        w_t, s_t = (
+            p.take(tree * (years + 1) + a1, 0) - p.take(tree * (years + 1) + a0, 0)
+            for p in (weight_t, total_t)
         )
-        best = gain.argmax(1)
-        at = np.arange(node.shape[1])
-        tree, m0, m1, a0, a1 = node
-        cut_m, cut_a, by_month = top[at, best], right[at, best], best < 11
-        left = np.array([tree, m0, cut_m, a0, cut_a])
-        rest = np.array([
-            tree, np.where(by_month, cut_m, m0), m1, np.where(by_month, a0, cut_a), a1,
+        gain = np.hstack([_cut_gain(w_t, s_t, m0, m1), _cut_gain(w, s, a0, a1)])
+        # The first of equally good cuts, whatever the rounding of their sums.
+        best = (gain >= gain.max(1, keepdims=True) * (1 - 1e-9)).argmax(1)
+        on_month = best < 11
+        cut_m, cut_a = best + 1, best - 10
+        node = np.hstack([
+            np.array([tree, m0, np.where(on_month, cut_m, m1), a0, np.where(on_month, a1, cut_a)]),
+            np.array([tree, np.where(on_month, cut_m, m0), m1, np.where(on_month, a0, cut_a), a1]),
         ])
-        node = np.hstack([left, rest])
     surface = surface.cumsum(0).cumsum(1) / TREES
     low, high = y.min(), y.max()
     return Fit(

@@ -39,13 +39,26 @@ def key_indicators(
 
 
 def name_indicators(
-    df: DataFrame, label: str, rules: Sequence[tuple[str, str]] = INDICATOR_RULES
+    df: DataFrame,
+    label: str,
+    rules: Sequence[tuple[str, str]] = INDICATOR_RULES,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """STR-1 as an operator: replaces ``label`` by its standard name."""
-    # Two projections, so that the stripped text is computed once for all rules.
-    return df.withColumn(label, clean_label(F.col(label))).withColumn(
-        label, match_rules(F.col(label), rules)
-    )
+    """STR-1 as an operator: replaces ``label`` by its standard name.
+
+    The rules run once per distinct label, not once per row, and the names are
+    joined back; Spark broadcasts them where their measured size allows. With
+    ``keys`` (FLT-4) the labels of other indicators are dropped before the join.
+    """
+    raw = df.groupBy(F.col(label).alias("raw_label")).agg(F.count(F.lit(1)).alias("n"))
+    # The count ties the name to the aggregate: a filter on it would otherwise be
+    # pushed below, where the rules would run on every row again.
+    clean = raw.select("raw_label", F.when(F.col("n") > 0, clean_label(F.col("raw_label"))).alias("clean"))
+    names = clean.select("raw_label", match_rules(F.col("clean"), rules).alias("name"))
+    if keys is not None:
+        names = names.where(F.col("name").isin(*keys))
+    joined = df.join(names, F.col(label).eqNullSafe(F.col("raw_label")))
+    return joined.select(*[F.col("name").alias(c) if c == label else F.col(c) for c in df.columns])
 
 
 def series_values(df: DataFrame, value: str) -> DataFrame:
@@ -75,9 +88,10 @@ def prepare(
         df = df.withColumn(date, strict_date(F.col(date)))
     elif not isinstance(dates, T.DateType):
         df = df.withColumn(date, F.col(date).cast("date"))
-    series = series_values(name_indicators(before_year(df, target_year, date), label, rules), value)
-    series = series.withColumnsRenamed({date: "ds", label: "service", value: "y"})
-    if keys is not None:
+    listed = None if isinstance(keys, DataFrame) else keys
+    named = name_indicators(before_year(df, target_year, date), label, rules, listed)
+    series = series_values(named, value).withColumnsRenamed({date: "ds", label: "service", value: "y"})
+    if isinstance(keys, DataFrame):
         series = key_indicators(series, keys)
     if dedupe == "sum":
         return series.groupBy("service", "ds").agg(F.sum("y").alias("y"))

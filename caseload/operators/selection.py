@@ -63,7 +63,7 @@ def models_index_lists(metrics: DataFrame) -> DataFrame:
 
 
 def score_ranks(selection: DataFrame, score: str = "score") -> DataFrame:
-    """Distinct scores with their row count and rank (1 = best), fully distributed.
+    """Distinct scores with row count, rank (1 = best) and total, fully distributed.
 
     Equal scores are counted before anything is ordered, so a score shared by a
     third of all indicators is one row here. The ranks are built from the
@@ -81,11 +81,17 @@ def score_ranks(selection: DataFrame, score: str = "score") -> DataFrame:
             ).cast("int"),
         )
     )
-    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.orderBy(F.desc("bucket"))
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
         counts.groupBy("bucket")
         .agg(F.sum("rows").alias("bucket_rows"))
-        .select("bucket", F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("offset"))
+        .select(
+            "bucket",
+            F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("offset"),
+            F.sum("bucket_rows").over(everything).alias("total_rows"),
+        )
     )
     inside = (
         Window.partitionBy("bucket")
@@ -95,7 +101,7 @@ def score_ranks(selection: DataFrame, score: str = "score") -> DataFrame:
     better = F.col("offset") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
     # At most SCORE_BUCKETS rows: a proven bound for the broadcast.
     return counts.join(F.broadcast(offsets), "bucket").select(
-        "score", "rows", (better + 1).alias("rank")
+        "score", "rows", (better + 1).alias("rank"), "total_rows"
     )
 
 
@@ -113,9 +119,9 @@ def score_stats(selection: DataFrame) -> DataFrame:
     hold all of them.
     """
     ranks = score_ranks(selection.where(F.col("error").isNull()))
-    n = ranks.agg(F.sum("rows")).scalar()
     last = F.col("rank") + F.col("rows") - 1
-    low, high = F.ceil(n / 2), F.floor(n / 2) + 1
+    half = F.col("total_rows") / 2
+    low, high = F.ceil(half), F.floor(half) + 1
 
     def at(k):
         return F.max(F.when(k.between(F.col("rank"), last), F.col("score")))
