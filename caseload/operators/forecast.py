@@ -142,8 +142,8 @@ def fit_metrics(fitted: DataFrame, history: DataFrame | None = None) -> DataFram
     """AGG-13, MTH-1 per indicator and model, failed models included.
 
     Dates with one row are scored from the fit itself. Dates shared by several
-    rows need each row: those are joined back from ``history`` on indicator and
-    date. Without ``history`` the mean of the date is scored.
+    rows need each row: those fits are written, measured and joined to ``history``
+    on indicator and date. Without ``history`` the mean of the date is scored.
     """
     models = fitted.where(F.col("model").isNotNull())
     cells = models.where(F.col("error").isNull()).select(
@@ -170,7 +170,7 @@ def fit_metrics(fitted: DataFrame, history: DataFrame | None = None) -> DataFram
     if history is None:
         scored = cells.select(*pairs)
     else:
-        shared = cells.where(F.col("n") > 1).drop("y", "n")
+        shared = materialise(cells.where(F.col("n") > 1).drop("y", "n"), "shared-dates")
         rows = history.select("service", "ds", "y").join(shared, ["service", "ds"])
         scored = cells.where(F.col("n") == 1).select(*pairs).unionByName(rows.select(*pairs))
     measured = evaluate(scored.unionByName(failed), by=("service", "model", "error"))

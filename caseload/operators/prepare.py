@@ -16,6 +16,8 @@ from caseload.functions.text import (
     strict_date,
     zero_if_missing,
 )
+from caseload.operators.series import spread_sort
+from caseload.session import materialise
 
 
 def before_year(df: DataFrame, target_year: int | None, ds: str = "ds") -> DataFrame:
@@ -38,27 +40,41 @@ def key_indicators(
     return df.where(F.col(service).isin(*keys))
 
 
+# Most labels whose names are broadcast (a few dozen MB); beyond it no join is made.
+MAX_BROADCAST_LABELS = 200_000
+
+
 def name_indicators(
     df: DataFrame,
     label: str,
     rules: Sequence[tuple[str, str]] = INDICATOR_RULES,
     keys: Sequence[str] | None = None,
+    per: str = "label",
 ) -> DataFrame:
     """STR-1 as an operator: replaces ``label`` by its standard name.
 
-    The rules run once per distinct label, not once per row, and the names are
-    joined back; Spark broadcasts them where their measured size allows. With
-    ``keys`` (FLT-4) the labels of other indicators are dropped before the join.
+    ``per="label"`` runs the rules once per distinct label: one job over the label
+    column alone writes the names, and they are broadcast to the rows if they are
+    few enough. Otherwise, and with ``per="row"`` (good for aggregated input), the
+    rules run on every row. Neither way shuffles the rows. With ``keys`` (FLT-4)
+    other indicators are dropped.
     """
-    raw = df.groupBy(F.col(label).alias("raw_label")).agg(F.count(F.lit(1)).alias("n"))
-    # The count ties the name to the aggregate: a filter on it would otherwise be
-    # pushed below, where the rules would run on every row again.
-    clean = raw.select("raw_label", F.when(F.col("n") > 0, clean_label(F.col("raw_label"))).alias("clean"))
-    names = clean.select("raw_label", match_rules(F.col("clean"), rules).alias("name"))
-    if keys is not None:
-        names = names.where(F.col("name").isin(*keys))
-    joined = df.join(names, F.col(label).eqNullSafe(F.col("raw_label")))
-    return joined.select(*[F.col("name").alias(c) if c == label else F.col(c) for c in df.columns])
+    if per == "label":
+        raw = df.groupBy(F.col(label).alias("raw_label")).agg(F.count(F.lit(1)).alias("n"))
+        clean = raw.select("raw_label", clean_label(F.col("raw_label")).alias("clean"))
+        names = clean.select("raw_label", match_rules(F.col("clean"), rules).alias("name"))
+        names = materialise(names, "names")
+        if names.count() <= MAX_BROADCAST_LABELS:
+            if keys is not None:
+                names = names.where(F.col("name").isin(*keys))
+            joined = df.join(F.broadcast(names), F.col(label).eqNullSafe(F.col("raw_label")))
+            return joined.select(
+                *[F.col("name").alias(c) if c == label else F.col(c) for c in df.columns]
+            )
+    # Two projections, so that the stripped text is computed once for all rules.
+    named = df.withColumn(label, clean_label(F.col(label)))
+    named = named.withColumn(label, match_rules(F.col(label), rules))
+    return named if keys is None else key_indicators(named, keys, label)
 
 
 def series_values(df: DataFrame, value: str) -> DataFrame:
@@ -74,6 +90,7 @@ def prepare(
     keys: Sequence[str] | DataFrame | None = KEY_INDICATORS,
     rules: Sequence[tuple[str, str]] = INDICATOR_RULES,
     dedupe: str = "keep",
+    per: str = "label",
     date: str = "date",
     label: str = "SERVICE",
     value: str = "valeur",
@@ -82,6 +99,7 @@ def prepare(
 
     ``keys=None`` keeps every indicator. ``dedupe="sum"`` merges rows of the same
     indicator and date (and drops extra columns); the default keeps them apart.
+    ``per`` is explained at :func:`name_indicators`.
     """
     dates = df.schema[date].dataType
     if isinstance(dates, T.StringType):
@@ -89,7 +107,7 @@ def prepare(
     elif not isinstance(dates, T.DateType):
         df = df.withColumn(date, F.col(date).cast("date"))
     listed = None if isinstance(keys, DataFrame) else keys
-    named = name_indicators(before_year(df, target_year, date), label, rules, listed)
+    named = name_indicators(before_year(df, target_year, date), label, rules, listed, per)
     series = series_values(named, value).withColumnsRenamed({date: "ds", label: "service", value: "y"})
     if isinstance(keys, DataFrame):
         series = key_indicators(series, keys)
@@ -102,7 +120,7 @@ def prepare(
 
 def in_series_order(df: DataFrame) -> DataFrame:
     """SRT-2: order by indicator and date, for a sink."""
-    return df.orderBy("service", "ds")
+    return spread_sort(df, "service", "ds")
 
 
 def monthly_view(df: DataFrame) -> DataFrame:
@@ -119,7 +137,7 @@ def split_by_history(
     df: DataFrame, min_rows: int = MIN_HISTORY_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """FLT-5: rows of long enough series, and one ``(service, rows)`` per short one."""
-    counts = df.groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
+    counts = materialise(df.groupBy("service").agg(F.count(F.lit(1)).alias("rows")), "row-counts")
     enough = counts.where(F.col("rows") >= min_rows)
     short = counts.where(F.col("rows") < min_rows)
     return df.join(enough.select("service"), "service", "left_semi"), short

@@ -57,11 +57,6 @@ def models_index(metrics: DataFrame) -> DataFrame:
     return metrics.select("model", "service").distinct()
 
 
-def models_index_lists(metrics: DataFrame) -> DataFrame:
-    """AGG-15 as lists, for a display of few indicators (one row per model)."""
-    return metrics.groupBy("model").agg(F.sort_array(F.collect_set("service")).alias("services"))
-
-
 def score_ranks(selection: DataFrame, score: str = "score") -> DataFrame:
     """Distinct scores with row count, rank (1 = best) and total, fully distributed.
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows here are whole series: small batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Only the run's own partitions are replaced when results are saved again.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -44,21 +46,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path that every executor can reach.
 
     Clusters name the shared place in ``spark.checkpoint.dir``. Only where that
-    is unset (a single machine) is a local temporary folder used.
+    is unset (a single machine) is a local temporary folder used. All folders of
+    one application lie together, so they can be dropped after the run.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="caseload-")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/caseload/{purpose}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    return f"{root.rstrip('/')}/caseload/{run}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Costly results (model fits) feed several tables. The written copy cuts the
-    lineage and survives the loss of executors.
+    Used for costly results that feed several tables (model fits), and for small
+    tables that are joined to raw rows: the planner then knows their true size and
+    broadcasts them only below its threshold, instead of shuffling the raw rows on
+    a guess. The copy cuts the lineage and survives the loss of executors.
     """
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)

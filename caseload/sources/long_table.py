@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseload.operators.series import by_date
+
 REQUIRED = ("date", "SERVICE", "valeur")
 
 
@@ -46,8 +48,7 @@ def write_long_csv(df: DataFrame, path: str) -> str:
     if df.isEmpty():
         raise ValueError("nothing to write")
     (
-        df.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "SERVICE", "valeur")
-        .orderBy("date")
+        by_date(df.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "SERVICE", "valeur"))
         .write.mode("overwrite")
         .option("header", True)
         .csv(path)

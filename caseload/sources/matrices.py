@@ -1,9 +1,10 @@
 """Yearly matrix files (one row per indicator, one column per month) to long rows.
 
-All files are read in one job. Lines keep their order through the pair
-(block start of the file split, row id inside the scan), so a file of any size
-is split over many tasks; nothing is grouped into one row or one task per file.
-What is joined back to the lines is one small row per file.
+All files are read together. Lines keep their order through the pair (block start
+of the file split, row id inside the scan), so a file of any size is split over
+many tasks; nothing is grouped into one row or one task per file. What is joined
+back to the lines is one small row per file: it is written first, so that header
+detection runs once and the planner knows the table's size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from caseload.functions.text import (
     strip,
     year_from_name,
 )
+from caseload.session import materialise
 
 MONTH_OF = {word: n for n, words in MONTH_SPELLINGS.items() for word in words}
 
@@ -161,18 +163,18 @@ def parse_matrices(
     Returns ``(date, SERVICE, valeur)`` rows of all good files and
     ``(file, reason)`` of the rejected ones.
     """
-    described = _described(_headers(lines, sep, header_rows), default_year)
+    described = materialise(
+        _described(_headers(lines, sep, header_rows), default_year), "headers"
+    )
     good = described.where(F.col("reason").isNull())
+    placed = good.withColumn("label_at", F.col("keyword_at"))
     unnamed = good.where(F.col("keyword_at").isNull())
-    guessed = label_column(_body(lines, unnamed), sep)
-    placed = good.join(guessed, "file", "left").select(
-        "file",
-        "header_block",
-        "header_pos",
-        "year",
-        "months",
-        F.coalesce("keyword_at", "text_at", F.lit(0)).alias("label_at"),
-    )
+    if not unnamed.isEmpty():
+        guessed = label_column(_body(lines, unnamed), sep)
+        label_at = F.coalesce("keyword_at", "text_at", F.lit(0))
+        placed = materialise(
+            good.join(guessed, "file", "left").select("*", label_at.alias("label_at")), "labels"
+        )
     rows = _body(lines, placed).select(
         "file",
         "year",

@@ -22,14 +22,13 @@ from caseload.plans.analysis import demand_forecast
 from caseload.workload.tables import (
     closed_tables,
     mixed_series,
-    orders_long,
+    orders_series,
     rounded,
     shipment_pairs,
     sql,
     supplier_series,
 )
 from caseload.operators.metrics import evaluate, with_score
-from caseload.operators.prepare import prepare
 
 
 def _fitted(df: DataFrame, models, min_rows: int = 12) -> DataFrame:
@@ -53,7 +52,7 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_before_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-4 with DAT-3: history before 2001 forecast up to December 2002."""
-    history = prepare(orders_long(spark, sf_dir), target_year=2001)
+    history = orders_series(spark, sf_dir, target_year=2001)
     walked = random_walk(history, target_year=2003)
     return walked.where(F.col("kind") == "future").select("service", "ds", "yhat")
 
@@ -63,6 +62,32 @@ def all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast(mixed_series(spark, sf_dir), unique_dates=True).selection
 
 
+def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD-1..3: dates, kinds and observed values of real fits, and two promises.
+
+    Every forecast is a finite number, and a forest stays within its data.
+    """
+    history = supplier_series(spark, sf_dir)
+    rows = forecast(history, unique_dates=True).forecasts
+    limits = history.groupBy("service").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    finite = F.coalesce(F.abs("yhat") < float("inf"), F.lit(False))
+    inside = (F.col("model") != "RandomForest") | F.col("yhat").between(F.col("low"), F.col("high"))
+    return rows.join(limits, "service").select(
+        "service", "model", "ds", "y", "kind", finite.alias("finite"), inside.alias("inside")
+    )
+
+
+CONTRACT_SQL = sql(
+    """SELECT service, model, ds, y, kind, TRUE AS finite, TRUE AS inside FROM (
+  SELECT service, ds, y, 'fitted' AS kind FROM sup
+  UNION ALL
+  SELECT service, last_day(last_ds + to_months(CAST(k AS INTEGER))), NULL, 'future'
+  FROM (SELECT service, max(ds) AS last_ds FROM sup GROUP BY service) CROSS JOIN range(1, 13) AS steps(k))
+CROSS JOIN (VALUES ('Prophet'), ('RandomForest'), ('ARIMA')) AS m(model)""",
+    "sup",
+)
+
+
 def shared_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-5 on rows that share dates: every duplicate row is scored by itself."""
     cut = F.when(F.length("service") % 2 == 0, "even").otherwise("odd")
@@ -72,7 +97,7 @@ def shared_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-6: six months of the key indicators."""
-    tables = demand_forecast(prepare(orders_long(spark, sf_dir)), periods=6)
+    tables = demand_forecast(orders_series(spark, sf_dir), periods=6)
     return tables.forecasts.where(F.col("kind") == "future")
 
 
@@ -188,6 +213,7 @@ QUERIES = {
             "series",
         ),
     ),
+    "mod_contract": (contract, CONTRACT_SQL),
     "mod_all_models": (all_models, None),
     "mod_shared_dates": (shared_dates, None),
     "mod_demand_forecast": (demand, None),

@@ -18,7 +18,7 @@ from caseload.functions.text import (
 from caseload.operators.prepare import before_year, key_indicators, monthly_view, name_indicators, prepare
 from caseload.operators.series import union_years
 from caseload.plans.reports import all_reports
-from caseload.session import shared_folder
+from caseload.session import materialise, shared_folder
 from caseload.sources.long_table import read_long_csv, write_long_csv
 from caseload.sources.matrices import label_column, matrix_to_long, parse_matrices
 from caseload.sources.results import load_results, save_reports, save_results
@@ -91,7 +91,8 @@ def matrix_lines(
         F.when(F.col("pos") == F.col("titles"), F.col("heading")).otherwise("Relevé,,").alias("line"),
     )
     body = rows.select("file", "pos", "line")
-    return head.unionByName(body).select("file", F.lit(0).cast("bigint").alias("block"), "pos", "line")
+    lines = head.unionByName(body).select("file", F.lit(0).cast("bigint").alias("block"), "pos", "line")
+    return materialise(lines, "matrices")
 
 
 def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,22 +283,25 @@ def strict_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly counts under messy labels: odd keys carry an age group."""
-    odd = F.col("o_orderkey") % 2 == 1
-    counts = (
-        read(spark, sf_dir, "orders")
-        .groupBy("o_orderpriority", odd.alias("odd"))
-        .agg(F.count(F.lit(1)).alias("orders"))
-    )
+    """Every order under a messy label: odd keys carry an age group."""
     label = priority_label(F.col("o_orderpriority"))
     aged = F.concat(F.lit("  "), label, F.lit(" < 5 ans"))
-    return counts.select(F.when(F.col("odd"), aged).otherwise(label).alias("service"), "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    return read(spark, sf_dir, "orders").select(
+        F.when(odd, aged).otherwise(label).alias("service"), "o_totalprice"
+    )
 
 
 def standard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-1: messy labels to standard names."""
+    """STR-1: messy labels to standard names, rules run once per distinct label."""
     named = name_indicators(raw_labels(spark, sf_dir), "service")
-    return named.groupBy("service").agg(F.sum("orders").alias("orders"))
+    return named.groupBy("service").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def standard_names_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1 without the label pass: rules run on every row, nothing is joined."""
+    named = name_indicators(raw_labels(spark, sf_dir), "service", per="row")
+    return named.groupBy("service").agg(F.count(F.lit(1)).alias("orders"))
 
 
 _RAW_LABEL_SQL = """
@@ -399,6 +403,7 @@ QUERIES = {
         sql("SELECT ds AS date, service, y AS valeur FROM series", "series"),
     ),
     "str_standard_names": (standard_names, STANDARD_NAMES_SQL),
+    "str_standard_names_per_row": (standard_names_per_row, STANDARD_NAMES_SQL),
     "flt_blank_labels": (
         blank_labels,
         "SELECT o_orderpriority AS label, count(*) AS orders FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",

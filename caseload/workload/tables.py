@@ -69,19 +69,22 @@ def priority_label(priority: Column) -> Column:
 def orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly orders per raw label: ``date, SERVICE, valeur``.
 
-    Orders are counted per priority first; names are given to the few groups.
+    Orders are counted per priority first; names are given to the few groups. The
+    label hangs on the count, so that no filter on it moves below the aggregate,
+    where it would be computed for every order.
     """
     counts = (
         read(spark, sf_dir, "orders")
         .groupBy("o_orderpriority", month("o_orderdate").alias("date"))
         .agg(F.count(F.lit(1)).cast("double").alias("valeur"))
     )
-    return counts.select("date", priority_label(F.col("o_orderpriority")).alias("SERVICE"), "valeur")
+    label = F.when(F.col("valeur") > 0, priority_label(F.col("o_orderpriority")))
+    return counts.select("date", label.alias("SERVICE"), "valeur")
 
 
 def orders_series(spark: SparkSession, sf_dir: str, target_year: int | None = None) -> DataFrame:
     """Key-indicator series of the orders: ``ds, service, y``."""
-    return prepare(orders_long(spark, sf_dir), target_year)
+    return prepare(orders_long(spark, sf_dir), target_year, per="row")
 
 
 def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,11 +305,6 @@ def test_ranks_and_exact_median(spark, scores):
     assert ranks == {f"s{i}": 1 + sum(o > v for o in scores) for i, v in enumerate(scores)}
 
 
-def test_model_index_lists(spark):
-    df = scored(spark, [0.1, 0.2])
-    assert selection.models_index_lists(df).first()["services"] == ["s0", "s1"]
-
-
 # --- growth, indicators, screens --------------------------------------------
 
 
