@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseload.functions.dates import horizon_months, month_ends_after
+
 
 def row_counts(df: DataFrame) -> DataFrame:
     """AGG-1: rows per indicator, most first."""
@@ -110,6 +112,22 @@ def series_bounds(df: DataFrame) -> DataFrame:
     )
 
 
+def horizons(
+    df: DataFrame, target_year: int | None = None, through_target: bool = False
+) -> DataFrame:
+    """DAT-3 as an operator: months to forecast per indicator."""
+    months = horizon_months(F.col("last_ds"), target_year, through_target)
+    return series_bounds(df).select("service", "last_ds", months.alias("horizon"))
+
+
+def future_calendar(
+    df: DataFrame, target_year: int | None = None, through_target: bool = False
+) -> DataFrame:
+    """DAT-2 as an operator: the month-ends to forecast per indicator."""
+    ends = month_ends_after(F.col("last_ds"), F.col("horizon"))
+    return horizons(df, target_year, through_target).select("service", F.explode(ends).alias("ds"))
+
+
 def union_years(*tables: DataFrame) -> DataFrame:
     """SET-1: bag union of yearly long tables."""
     result = tables[0]

@@ -27,7 +27,7 @@ from caseload.functions.text import (
     strip,
     year_from_name,
 )
-from caseload.session import materialise
+from caseload.session import compute_partitions, materialise
 
 MONTH_OF = {word: n for n, words in MONTH_SPELLINGS.items() for word in words}
 
@@ -47,8 +47,19 @@ def split_cells(line: Column, sep: str = ",") -> Column:
     )
 
 
+def _freeze_splits(spark: SparkSession) -> None:
+    """Make every scan of the session cut and pack files alike.
+
+    Row places are compared between scans. Spark sizes splits by the cores it has
+    at that moment, which changes while executors come and go.
+    """
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(compute_partitions(spark)))
+
+
 def read_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8") -> DataFrame:
     """Lines of text files with their place: ``file, block, pos, line``."""
+    _freeze_splits(spark)
     text = spark.read.option("encoding", encoding).text(list(paths))
     return text.select(
         F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")).alias("file"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,17 @@ def save_results(tables: ForecastTables, path: str, run_year: int) -> str:
 
 def load_results(
     spark: SparkSession, path: str, run_year: int | None = None
-) -> ForecastTables:
-    """SRC-5: read stored results; the run year prunes partitions."""
+) -> ForecastTables | None:
+    """SRC-5: read stored results; the run year prunes partitions.
+
+    None if there are no readable results.
+    """
     loaded = {}
     for name in ForecastTables._fields:
-        df = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        try:
+            df = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        except AnalysisException:
+            return None
         if run_year is not None:
             df = df.where(F.col("run_year") == run_year).drop("run_year")
         loaded[name] = df

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.functions.dates import horizon_months, month_ends_after
+from caseload.functions.dates import horizon_months
 from caseload.functions.scoring import band3, band4, composite_score, display_score, zero_if_null
 from caseload.operators.metrics import evaluate
 from caseload.operators.prepare import calendar_features
-from caseload.operators.series import series_bounds
+from caseload.operators.series import future_calendar, series_bounds
 from caseload.workload.tables import (
     SQL_SCORE,
     customer_series,
@@ -31,8 +31,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def future_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAT-2: twelve month-ends after each customer's last month."""
-    last = series_bounds(customer_series(spark, sf_dir))
-    return last.select("service", F.explode(month_ends_after(F.col("last_ds"), F.lit(12))).alias("ds"))
+    return future_calendar(customer_series(spark, sf_dir))
 
 
 def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,51 @@ def test_whole_run(spark, folder, tmp_path):
     assert {r[0] for r in spark.read.parquet(f"{out}/results/selection").select("run_year").distinct().collect()} == {2023, 2025}
 
 
+def test_unreadable_results_are_none(spark, tmp_path):
+    assert caseload.load_results(spark, str(tmp_path / "nothing")) is None
+
+
+def test_rules_run_per_row_when_labels_are_many(spark, monkeypatch):
+    from caseload.operators import prepare as module
+
+    rows = [(f"TOTAL IRA {i}", 1) for i in range(50)] + [(None, 1), (" x ", 1)]
+    df = spark.createDataFrame(rows, "label string, v int")
+    few = module.name_indicators(df, "label")
+    monkeypatch.setattr(module, "MAX_BROADCAST_LABELS", 3)
+    many = module.name_indicators(df, "label")
+    row = module.name_indicators(df, "label", per="row")
+    assert "Join" not in many._jdf.queryExecution().toString()
+    found = [sorted(map(tuple, d.collect())) for d in (few, many, row)]
+    assert found[0] == found[1] == found[2]
+    assert found[0].count(("Infections Respiratoires", 1)) == 50
+    keyed = module.name_indicators(df, "label", keys=["x"], per="row")
+    assert keyed.collect() == module.name_indicators(df, "label", keys=["x"]).collect() == [("x", 1)]
+
+
+def test_one_label_with_a_third_of_the_rows(spark):
+    """A hot label and a hot date go through naming, sorting and the series arrays."""
+    from caseload.operators.forecast import series_arrays
+    from caseload.operators.prepare import in_series_order
+
+    hot = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, "TOTAL IRA").otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("SERVICE"),
+        F.when(F.col("id") % 2 == 0, F.lit("2020-01-01")).otherwise(F.lit("2020-02-01")).cast("date").alias("date"),
+        F.lit(1.0).alias("valeur"),
+    )
+    ready = prepare(hot, keys=None)
+    assert ready.where("service = 'Infections Respiratoires'").count() == 6667
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = in_series_order(ready).select(F.spark_partition_id().alias("at"), "service").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r["service"] for r in placed] == sorted(r["service"] for r in placed)
+    sizes = Counter(r["at"] for r in placed)
+    assert max(sizes.values()) < 6667 and len(placed) == 20000
+    arrays = series_arrays(ready.select("service", "ds", "y"))
+    assert arrays.agg(F.max(F.size("days"))).first()[0] == 2
+
+
 def test_reports_need_results(spark, tmp_path):
     with pytest.raises(ValueError):
         caseload.save_reports({}, str(tmp_path))
