@@ -42,18 +42,17 @@ def run_full_analysis(
     """Read all matrices, forecast, store results and reports under ``output``.
 
     Folders written: ``long`` (CSV), ``ingest_errors``, ``results`` (per run year)
-    and ``reports_<year>``. The result tables are read back from the store, so no
-    report runs a fit again.
+    and ``reports_<year>``. The text is parsed once; the result tables are read
+    back from the store, so no report runs a fit again.
     """
     output = output.rstrip("/")
-    long, problems = read_matrices(spark, paths, sep=sep)
+    long, problems = read_matrices(spark, paths, sep=sep, keep=True)
     problems.write.mode("overwrite").parquet(f"{output}/ingest_errors")
     write_long_csv(long, f"{output}/long")
-    stored = read_long_csv(spark, f"{output}/long")
-    series = prepare(stored, target_year, keys).select("service", "ds", "y")
+    series = prepare(long, target_year, keys).select("service", "ds", "y")
     if series.isEmpty():
         raise ValueError("no key indicator has data before the target year")
-    year = target_year or latest_year(stored.select(F.col("date").cast("date").alias("ds"))).first()[0]
+    year = target_year or latest_year(long.select(F.col("date").alias("ds"))).first()[0]
     tables = forecast(series, target_year=target_year)
     save_results(tables, f"{output}/results", year)
     tables = load_results(spark, f"{output}/results", year)

@@ -168,11 +168,13 @@ def parse_matrices(
     default_year: int = DEFAULT_YEAR,
     header_rows: int = 10,
     sep: str = ",",
+    keep: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """SRC-1/2, PRJ-1/2/3/5/7, FLT-1/2, RSH-1 on ``file, block, pos, line`` rows.
 
     Returns ``(date, SERVICE, valeur)`` rows of all good files and
-    ``(file, reason)`` of the rejected ones.
+    ``(file, reason)`` of the rejected ones. ``keep`` writes the rows once, for
+    callers that use them more than once: the text is then parsed only here.
     """
     described = materialise(
         _described(_headers(lines, sep, header_rows), default_year), "headers"
@@ -213,6 +215,8 @@ def parse_matrices(
         "SERVICE",
         numeric(F.col("cell"), min_value=0).alias("valeur"),
     ).dropna(subset=["valeur", "date"])
+    if keep:
+        long = materialise(long, "long")
     no_data = (
         good.select("file")
         .join(long.select("file").distinct(), "file", "left_anti")
@@ -254,6 +258,7 @@ def read_matrices(
     header_rows: int = 10,
     sep: str = ",",
     encoding: str = "utf-8",
+    keep: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """SRC-3: consolidate many matrix files; bad ones are listed, not fatal.
 
@@ -264,7 +269,7 @@ def read_matrices(
     if not there:
         raise FileNotFoundError(f"no matrix file found: {', '.join(wanted)}")
     lines = read_lines(spark, there, encoding)
-    long, errors = parse_matrices(lines, default_year, header_rows, sep)
+    long, errors = parse_matrices(lines, default_year, header_rows, sep, keep)
     errors = errors.unionByName(_unread_files(spark, there, lines.select("file").distinct()))
     if missing:
         absent = spark.createDataFrame(
