@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from caseload.functions.dates import horizon_months, month_ends_after
 from caseload.functions.rules import MIN_HISTORY_ROWS, SHORT_HISTORY_ERROR
 from caseload.operators import fits
+from caseload.operators.lookup import attach
 from caseload.operators.metrics import evaluate, with_score
 from caseload.operators.selection import best_model
 from caseload.operators.series import dated_cells
@@ -142,8 +143,8 @@ def fit_metrics(fitted: DataFrame, history: DataFrame | None = None) -> DataFram
     """AGG-13, MTH-1 per indicator and model, failed models included.
 
     Dates with one row are scored from the fit itself. Dates shared by several
-    rows need each row: those fits are written, measured and joined to ``history``
-    on indicator and date. Without ``history`` the mean of the date is scored.
+    rows need each row: those fits are attached to ``history`` by indicator and
+    date. Without ``history`` the mean of the date is scored.
     """
     models = fitted.where(F.col("model").isNotNull())
     cells = models.where(F.col("error").isNull()).select(
@@ -170,8 +171,14 @@ def fit_metrics(fitted: DataFrame, history: DataFrame | None = None) -> DataFram
     if history is None:
         scored = cells.select(*pairs)
     else:
-        shared = materialise(cells.where(F.col("n") > 1).drop("y", "n"), "shared-dates")
-        rows = history.select("service", "ds", "y").join(shared, ["service", "ds"])
+        # One row per shared date, with the values of all models side by side.
+        shared = (
+            cells.where(F.col("n") > 1)
+            .groupBy("service", "ds")
+            .agg(F.max("n").alias("n"), F.collect_list(F.struct("model", "error", "yhat")).alias("at"))
+        )
+        rows = attach(history.select("service", "ds", "y"), shared, ["service", "ds"], "n")
+        rows = rows.select("service", "y", F.inline("at"))
         scored = cells.where(F.col("n") == 1).select(*pairs).unionByName(rows.select(*pairs))
     measured = evaluate(scored.unionByName(failed), by=("service", "model", "error"))
     return with_score(measured).select(

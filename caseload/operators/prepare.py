@@ -16,6 +16,7 @@ from caseload.functions.text import (
     strict_date,
     zero_if_missing,
 )
+from caseload.operators.lookup import attach
 from caseload.operators.series import spread_sort
 from caseload.session import materialise
 
@@ -137,7 +138,6 @@ def split_by_history(
     df: DataFrame, min_rows: int = MIN_HISTORY_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """FLT-5: rows of long enough series, and one ``(service, rows)`` per short one."""
-    counts = materialise(df.groupBy("service").agg(F.count(F.lit(1)).alias("rows")), "row-counts")
-    enough = counts.where(F.col("rows") >= min_rows)
-    short = counts.where(F.col("rows") < min_rows)
-    return df.join(enough.select("service"), "service", "left_semi"), short
+    counts = df.groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
+    enough = attach(df, counts.where(F.col("rows") >= min_rows), ["service"], "rows")
+    return enough.select(*df.columns), counts.where(F.col("rows") < min_rows)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseload.functions.dates import month_index
+from caseload.operators.lookup import attach
 from caseload.operators.series import dated_cells
-from caseload.session import materialise
 
 METRIC_COLUMNS = ("r2", "mae", "rmse", "mape", "smape", "R2", "MAE", "RMSE", "sMAPE")
 VALIDATION_COLUMNS = ("fold", "accepted", "alert_r2", "alert_mape")
@@ -20,16 +20,17 @@ VALIDATION_COLUMNS = ("fold", "accepted", "alert_r2", "alert_mape")
 def flag_outliers(df: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """DCL-7: rows further than ``sigmas`` standard deviations from their series' mean.
 
-    Mean and deviation come from a pre-combined aggregate that is written, measured
-    and joined back, so a hot series is never sorted or buffered whole, as a window
-    would do.
+    Mean and deviation come from a pre-combined aggregate that is joined back, so a
+    hot series is never sorted or buffered whole, as a window would do.
     """
     stats = df.groupBy("service").agg(
-        F.avg("y").alias("mean"), F.stddev_samp("y").alias("deviation")
+        F.avg("y").alias("mean"),
+        F.stddev_samp("y").alias("deviation"),
+        F.count(F.lit(1)).alias("rows"),
     )
-    stats = materialise(stats, "series-stats")
     far = F.abs(F.col("y") - F.col("mean")) > F.lit(float(sigmas)) * F.col("deviation")
-    return df.join(stats, "service").withColumn("outlier", F.coalesce(far, F.lit(False)))
+    joined = attach(df, stats, ["service"], "rows").drop("rows")
+    return joined.withColumn("outlier", F.coalesce(far, F.lit(False)))
 
 
 def fill_gaps(df: DataFrame, strategy: str = "interpolate") -> DataFrame:

@@ -45,15 +45,14 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path that every executor can reach.
 
-    Clusters name the shared place in ``spark.checkpoint.dir``. Only where that
-    is unset (a single machine) is a local temporary folder used. All folders of
+    Clusters name the shared place in ``spark.checkpoint.dir``. Only where no
+    checkpoint folder is set (a single machine) is a local temporary folder used. All folders of
     one application lie together, so they can be dropped after the run.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="caseload-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(root)
     run = spark.sparkContext.applicationId
     return f"{root.rstrip('/')}/caseload/{run}/{purpose}-{uuid.uuid4().hex}"
 

@@ -176,6 +176,14 @@ def parse_matrices(
     ``(file, reason)`` of the rejected ones. ``keep`` writes the rows once, for
     callers that use them more than once: the text is then parsed only here.
     """
+    long, errors, _ = _parse(lines, default_year, header_rows, sep, keep)
+    return long, errors
+
+
+def _parse(
+    lines: DataFrame, default_year: int, header_rows: int, sep: str, keep: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Long rows, rejected files, and all files that hold a line."""
     described = materialise(
         _described(_headers(lines, sep, header_rows), default_year), "headers"
     )
@@ -223,7 +231,7 @@ def parse_matrices(
         .select("file", F.lit("no usable value").alias("reason"))
     )
     errors = described.where(F.col("reason").isNotNull()).select("file", "reason")
-    return long.select("date", "SERVICE", "valeur"), errors.unionByName(no_data)
+    return long.select("date", "SERVICE", "valeur"), errors.unionByName(no_data), described.select("file")
 
 
 def _existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -269,8 +277,8 @@ def read_matrices(
     if not there:
         raise FileNotFoundError(f"no matrix file found: {', '.join(wanted)}")
     lines = read_lines(spark, there, encoding)
-    long, errors = parse_matrices(lines, default_year, header_rows, sep, keep)
-    errors = errors.unionByName(_unread_files(spark, there, lines.select("file").distinct()))
+    long, errors, seen = _parse(lines, default_year, header_rows, sep, keep)
+    errors = errors.unionByName(_unread_files(spark, there, seen))
     if missing:
         absent = spark.createDataFrame(
             [(path, "file does not exist") for path in missing], errors.schema

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import caseload
 from caseload.functions.rules import NO_MODEL_ERROR, SHORT_HISTORY_ERROR
-from caseload.operators import fits, kpi, quality, selection, series
+from caseload.operators import fits, kpi, lookup, quality, selection, series
 from caseload.operators.forecast import forecast, random_walk
 from caseload.operators.metrics import evaluate, with_score
 from caseload.operators.validation import backtest, backtest_splits
@@ -256,6 +256,60 @@ def test_rows_sharing_a_date_are_scored_one_by_one(spark, complete):
     assert forecast(doubled.where("ds < '2022-07-01'")).selection.first()["error"] is None
 
 
+@pytest.mark.parametrize("most, share", [(500_000, 1e-4), (3, 0.2), (3, 1.0)])
+def test_attach_by_broadcast_and_by_hot_keys(spark, monkeypatch, most, share):
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_KEYS", most)
+    monkeypatch.setattr(lookup, "HOT_SHARE", share)
+    rows = spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 7).alias("key"), "id"
+    )
+    values = rows.groupBy("key").agg(F.count("*").alias("rows"), F.sum("id").alias("total"))
+    found = sorted(map(tuple, lookup.attach(rows, values, ["key"], "rows").collect()))
+    assert found == sorted(map(tuple, rows.join(values, "key").collect()))
+    assert len(found) == 300
+
+
+def test_trend_fit_is_the_best_one():
+    """No nearby coefficients do better on the posterior the fit maximises."""
+    rng = np.random.default_rng(0)
+    t = np.linspace(0, 1, 60)
+    x = np.column_stack([np.ones(60), t, *(np.maximum(t - k, 0) for k in (0.2, 0.4, 0.6))])
+    y = 0.2 + 0.5 * t - 0.8 * np.maximum(t - 0.4, 0) + rng.normal(0, 0.02, 60)
+    bends = np.array([False, False, True, True, True])
+    precision = np.full(5, 1 / fits.TREND_SCALE**2)
+    beta = fits._map_regression(x, y, np.ones(60), 0.0, precision, bends)
+    variance = max(((y - x @ beta) ** 2).mean(), fits.NOISE_FLOOR**2)
+
+    def loss(b):
+        return (
+            ((y - x @ b) ** 2).sum() / (2 * variance)
+            + (b[~bends] ** 2 @ precision[~bends]) / 2
+            + np.abs(b[bends]).sum() / fits.CHANGEPOINT_SCALE
+        )
+
+    best = loss(beta)
+    for scale in (1e-1, 1e-2, 1e-3):
+        assert min(loss(beta + rng.normal(0, scale, 5)) for _ in range(300)) > best - 1e-3
+
+
+def test_arima_search_equals_a_fine_grid():
+    rng = np.random.default_rng(8)
+    w = rng.normal(0, 1, 60).cumsum() * 0.3 + rng.normal(0, 1, 60)
+    phi, theta, e = fits._css(w, 1, 1)
+
+    def sse(p, q):
+        last_w = last_e = total = 0.0
+        for v in w:
+            last_e = v - p * last_w - q * last_e
+            last_w = v
+            total += last_e**2
+        return total
+
+    assert sse(phi[0], theta) == pytest.approx((e**2).sum())
+    grid = [sse(p, q) for p in np.linspace(-0.98, 0.98, 99) for q in np.linspace(-0.98, 0.98, 99)]
+    assert (e**2).sum() <= min(grid) * (1 + 1e-6)
+
+
 def test_random_walk(complete):
     walk = random_walk(complete, horizon=2).orderBy("ds").collect()
     values = [r["y"] for r in complete.orderBy("ds").collect()]
