@@ -15,6 +15,7 @@ from caseload.operators.selection import (
 )
 from caseload.operators.series import volume_share
 
+# --- fixed values: published column names of the metrics -------------------
 METRICS = {"R2": "r2", "MAE": "mae", "RMSE": "rmse", "sMAPE": "smape"}
 
 
@@ -143,9 +144,13 @@ def errors(tables: ForecastTables) -> DataFrame:
 
 
 def volume_and_trend(tables: ForecastTables) -> tuple[DataFrame, DataFrame]:
-    """RPT-7: share of the volume, and the monthly points, of the successful indicators."""
-    history = successful(tables.history, tables.selection)
-    return volume_share(history), history.select("ds", "service", "y")
+    """RPT-7: share of the volume, and the monthly points, of the successful indicators.
+
+    Volumes are summed before the indicators are matched: few rows meet the join.
+    """
+    sums = tables.history.groupBy("service").agg(F.sum("y").alias("y"))
+    points = successful(tables.history, tables.selection).select("ds", "service", "y")
+    return volume_share(successful(sums, tables.selection)), points
 
 
 def all_reports(tables: ForecastTables) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseload.operators.forecast import ForecastTables, forecast
 from caseload.plans import reports
+from caseload.plans.dashboard import dashboard
 from caseload.workload.tables import SQL_SCORE, closed_tables, mixed_series, rounded, sql
 
 
@@ -84,6 +85,30 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.ranking(tables._replace(selection=rounded(tables.selection)))
 
 
+def shown(name: str):
+    """One table of the dashboard over the closed-form results."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(dashboard(closed_tables(spark, sf_dir), cost=1100)[name])
+
+    return query
+
+
+DASHBOARD_KPI_SQL = sql(
+    """SELECT consultants, consultations, demand, mean_growth_percent, recommended_consultants,
+  CASE WHEN recommended_consultants = 0 THEN 0.0
+    ELSE least(100.0, consultants / recommended_consultants * 100) END AS coverage_percent,
+  recommended_consultants * 1100.0::DOUBLE AS estimated_cost
+FROM (SELECT 0.0::DOUBLE AS consultants, 0.0::DOUBLE AS consultations, sum(y) AS demand,
+        CAST(trunc(sum(y) / 1000) AS BIGINT) AS recommended_consultants FROM eligible)
+CROSS JOIN (SELECT avg((total - previous) / previous) * 100 AS mean_growth_percent FROM (
+  SELECT total, lag(total) OVER (ORDER BY ds) AS previous FROM (
+    SELECT ds, sum(y) AS total FROM eligible GROUP BY ds)))""",
+    "eligible",
+    doubles="mean_growth_percent, coverage_percent",
+)
+
+
 def fitted_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RPT-3 from real fits: best forecasts of all series."""
     return reports.detail(forecast(mixed_series(spark, sf_dir), unique_dates=True))
@@ -194,6 +219,15 @@ QUERIES = {
         ),
     ),
     "rpt_trend": (trend, sql("SELECT ds, service, y FROM eligible", "eligible")),
+    "dsh_overview": (
+        shown("overview"),
+        sql(
+            """SELECT count(DISTINCT service) AS services, count(*) AS "rows",
+               CAST(year(max(ds)) AS INTEGER) AS data_year FROM eligible""",
+            "eligible",
+        ),
+    ),
+    "dsh_kpis": (shown("kpis"), DASHBOARD_KPI_SQL),
     "rpt_fitted_detail": (fitted_detail, None),
     "rpt_fitted_comparison": (fitted_comparison, None),
     "flt_forecast_view_best": (

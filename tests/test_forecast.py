@@ -439,3 +439,8 @@ def test_many_series_in_one_pass(make_series):
     assert (summary["services_ok"], summary["services_total"]) == (6, 6)
     view = reports.history_and_forecast(tables, "ARIMA")
     assert view.where("`Historique` is null").count() == 72
+    shown = {name: df.count() for name, df in caseload.dashboard(tables, "ARIMA").items()}
+    assert shown == {
+        "overview": 1, "volume": 6, "trend": 108, "models": 18, "forecasts": 72, "curves": 180,
+        "errors": 0, "kpis": 1, "disease_alert": 1, "accepted": 6,
+    }
