@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.functions.dates import month_ends_after
+from caseload.functions.rules import SHORT_HISTORY_ERROR
 from caseload.operators import fits
 from caseload.operators import selection as sel
 from caseload.operators.forecast import (
@@ -23,6 +24,7 @@ from caseload.workload.tables import (
     closed_tables,
     mixed_series,
     orders_series,
+    part_series,
     rounded,
     shipment_pairs,
     sql,
@@ -62,6 +64,20 @@ def all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast(mixed_series(spark, sf_dir), unique_dates=True).selection
 
 
+def many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD-5 over every part: which series were long enough, and that all got a model."""
+    chosen = forecast(part_series(spark, sf_dir), unique_dates=True).selection
+    return chosen.select(
+        "service", "error", F.col("model").isNotNull().alias("has_model"), F.col("score").between(0, 1).alias("in_range")
+    )
+
+
+MANY_SQL = f"""SELECT 'P' || l_partkey AS service,
+  CASE WHEN count(DISTINCT date_trunc('month', l_shipdate)) < 12 THEN '{SHORT_HISTORY_ERROR}' END AS error,
+  count(DISTINCT date_trunc('month', l_shipdate)) >= 12 AS has_model, TRUE AS in_range
+FROM lineitem GROUP BY l_partkey"""
+
+
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-1..3: dates, kinds and observed values of real fits, and two promises.
 
@@ -215,6 +231,7 @@ QUERIES = {
     ),
     "mod_contract": (contract, CONTRACT_SQL),
     "mod_all_models": (all_models, None),
+    "mod_many_series": (many_series, MANY_SQL),
     "mod_shared_dates": (shared_dates, None),
     "mod_demand_forecast": (demand, None),
     "mod_failure_capture": (failing_model, FAILING_SQL),

@@ -97,6 +97,16 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly shipped quantity per part: the most series the tables hold."""
+    return (
+        read(spark, sf_dir, "lineitem")
+        .groupBy("l_partkey", month("l_shipdate").alias("ds"))
+        .agg(F.sum("l_quantity").alias("y"))
+        .select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("service"), "ds", "y")
+    )
+
+
 def customer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly orders per customer; many customers have fewer than 12 months."""
     return (

@@ -14,7 +14,7 @@ from caseload.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, memory="6g")
+    session = local_session(4, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
