@@ -49,6 +49,12 @@ MONTH_SPELLINGS: dict[int, tuple[str, ...]] = {
 # --- fixed values: words that name the label column of a matrix ------------
 LABEL_WORDS: tuple[str, ...] = ("SERVICE", "INDICATEUR")
 
+# --- fixed values: cell texts that spreadsheet readers take for a missing cell
+MISSING_CELLS: tuple[str, ...] = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 # --- fixed values: composite score weights ---------------------------------
 HEALTH_WEIGHTS = {"smape": 0.40, "mae": 0.30, "r2": 0.20, "rmse": 0.10}
 EQUAL_WEIGHTS = {"smape": 0.25, "mae": 0.25, "r2": 0.25, "rmse": 0.25}

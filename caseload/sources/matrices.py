@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseload.functions.rules import DEFAULT_YEAR, HEADER_MONTHS, LABEL_WORDS, MONTH_SPELLINGS
+from caseload.functions.rules import DEFAULT_YEAR, HEADER_MONTHS, LABEL_WORDS, MISSING_CELLS, MONTH_SPELLINGS
 from caseload.functions.text import (
     at_least,
     is_blank,
@@ -47,6 +47,11 @@ def split_cells(line: Column, sep: str = ",") -> Column:
     )
 
 
+def data_cells(line: Column, sep: str = ",") -> Column:
+    """Cells of a data row; the usual texts for "missing" become null."""
+    return F.transform(split_cells(line, sep), lambda c: F.when(~c.isin(*MISSING_CELLS), c))
+
+
 def _freeze_splits(spark: SparkSession) -> None:
     """Make every scan of the session cut and pack files alike.
 
@@ -109,10 +114,14 @@ def _headers(lines: DataFrame, sep: str, header_rows: int) -> DataFrame:
 def _described(headers: DataFrame, default_year: int) -> DataFrame:
     """Add the year, the month columns and the keyword label column of every file."""
     names = F.transform("names", lambda c: F.upper(strip(c)))
+    # A name that repeats word for word is a copy of the first column, not a month.
     months = F.filter(
         F.transform(
             F.col("names"),
-            lambda c, i: F.struct(i.alias("at"), month_number(c).alias("month")),
+            lambda c, i: F.struct(
+                i.alias("at"),
+                F.when(F.array_position("names", c) == i + 1, month_number(c)).alias("month"),
+            ),
         ),
         lambda s: s["month"].isNotNull(),
     )
@@ -154,7 +163,7 @@ def label_column(body: DataFrame, sep: str = ",") -> DataFrame:
     The minimum over rows of a row's first text cell is the answer, so the
     aggregate combines before the shuffle and no cell is exploded.
     """
-    cells = split_cells(F.col("line"), sep)
+    cells = data_cells(F.col("line"), sep)
     text_at = F.filter(
         F.transform(cells, lambda c, i: F.when(~is_blank(c) & numeric(c).isNull(), i)),
         lambda i: i.isNotNull(),
@@ -201,7 +210,7 @@ def _parse(
         "year",
         "months",
         "label_at",
-        split_cells(F.col("line"), sep).alias("cells"),
+        data_cells(F.col("line"), sep).alias("cells"),
     )
     label = F.get(F.col("cells"), F.col("label_at"))
     measured = rows.where(~is_blank(label)).select(

@@ -95,6 +95,16 @@ def test_label_column_by_keyword_then_text_then_first(spark, folder):
     ]
 
 
+def test_missing_cells_and_repeated_columns(spark, folder):
+    missing = folder("a_2020.csv", "No,Nom,JANVIER,MARS\nNA,X,1,n/a\n2,NULL,3,4\n3,nan bis,5,6\n")
+    repeated = folder("b_2021.csv", "Service,JANVIER,JANVIER\nY,1,2\n")
+    found = rows(read_matrices(spark, [missing, repeated])[0])
+    assert found == [
+        (dt.date(2020, 1, 1), "X", 1.0), (dt.date(2020, 1, 1), "nan bis", 5.0),
+        (dt.date(2020, 3, 1), "nan bis", 6.0), (dt.date(2021, 1, 1), "Y", 1.0),
+    ]
+
+
 def test_large_file_in_many_splits(spark, folder):
     """Row order must hold when one file is read by many tasks."""
     body = "".join(f"label {i},{i},{i + 1}\n" for i in range(20000))
