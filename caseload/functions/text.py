@@ -19,9 +19,13 @@ from caseload.functions.rules import (
 
 # (?U): Unicode white space; the control characters 1c-1f count as space too.
 _OUTER_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-# A number as a spreadsheet column reader accepts it. Guards the cast, because
-# CAST alone would also take Java suffixes such as '12d'.
-_NUMBER = r"(?i)\A[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)\z"
+# A number as a spreadsheet column reader accepts it, amid white space. Guards the
+# cast, because CAST alone would also take Java suffixes such as '12d'.
+_NUMBER = (
+    r"(?iU)\A[\s\x1c-\x1f]*"
+    r"([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?))"
+    r"[\s\x1c-\x1f]*\z"
+)
 # i: ignore case, u: for all of Unicode, d: only \n ends a line.
 _RULE_FLAGS = "(?iud)"
 
@@ -56,8 +60,8 @@ def standardise(label: Column, rules: Sequence[tuple[str, str]] = INDICATOR_RULE
 
 def numeric(text: Column, min_value: float | None = None) -> Column:
     """PRJ-3: text to DOUBLE, null where it is no number or lies below ``min_value``."""
-    clean = strip(text.cast("string"))
-    value = F.when(clean.rlike(_NUMBER), clean.try_cast("double"))
+    # Anything else extracts as an empty text, which casts to null.
+    value = F.regexp_extract(text.cast("string"), _NUMBER, 1).try_cast("double")
     return value if min_value is None else at_least(value, min_value)
 
 

@@ -34,17 +34,18 @@ MONTH_OF = {word: n for n, words in MONTH_SPELLINGS.items() for word in words}
 
 def split_cells(line: Column, sep: str = ",") -> Column:
     """Cells of one delimited line; quoted cells may hold the separator."""
-    # A leading separator gives every cell the same form: separator, then text.
     mark = re.escape(sep)
-    pattern = rf'{mark}("(?:[^"]|"")*"|[^{mark}]*)'
-    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(pattern), F.lit(1))
-    return F.transform(
-        raw,
+    # A leading separator gives every cell the same form: separator, then text.
+    quoted = F.transform(
+        F.regexp_extract_all(
+            F.concat(F.lit(sep), line), F.lit(rf'{mark}("(?:[^"]|"")*"|[^{mark}]*)'), F.lit(1)
+        ),
         lambda cell: F.when(
             cell.startswith('"'),
             F.replace(F.regexp_replace(cell, r'\A"|"\z', ""), F.lit('""'), F.lit('"')),
         ).otherwise(cell),
     )
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, mark, -1))
 
 
 def data_cells(line: Column, sep: str = ",") -> Column:
