@@ -4,29 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload.session import materialise
 
-# Most keys whose values are broadcast as a whole (tens of MB).
-MAX_BROADCAST_KEYS = 500_000
+# Largest table that is broadcast as a whole.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is hot above this share of all rows; so there are fewer hot keys than its inverse.
 HOT_SHARE = 1 / 10_000
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Generous estimate of a row's size in memory."""
+
+    def size(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 32
+        if isinstance(field.dataType, T.ArrayType):
+            return F.greatest(F.size(value), F.lit(0)) * 256 + 32
+        return F.lit(16)
+
+    return sum((size(field) for field in df.schema.fields), F.lit(0)).cast("bigint")
+
+
 def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Inner join of raw ``rows`` with one row of ``values`` per key.
 
     ``values[weight]`` is the number of rows behind the key. The values are written
-    and counted: few keys are broadcast. Of many keys only the hot ones are, whose
-    number is bounded by construction; the rows of the others are shuffled, and none
-    of those groups is large.
+    and measured: a small table is broadcast. Of a large one only the hot keys are,
+    whose number is bounded by construction; the rows of the others are shuffled, and
+    none of those groups is large.
     """
     values = materialise(values, "values")
     keys = list(keys)
-    size, total = values.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if size <= MAX_BROADCAST_KEYS:
+    size, total = values.agg(F.sum(row_bytes(values)), F.sum(weight)).first()
+    if (size or 0) <= MAX_BROADCAST_BYTES:
         return rows.join(F.broadcast(values), keys)
     is_hot = F.col(weight) > F.lit(float(total) * HOT_SHARE)
     hot, cold = values.where(is_hot), values.where(~is_hot)

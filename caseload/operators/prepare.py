@@ -16,7 +16,7 @@ from caseload.functions.text import (
     strict_date,
     zero_if_missing,
 )
-from caseload.operators.lookup import attach
+from caseload.operators import lookup
 from caseload.operators.series import spread_sort
 from caseload.session import materialise
 
@@ -41,10 +41,6 @@ def key_indicators(
     return df.where(F.col(service).isin(*keys))
 
 
-# Most labels whose names are broadcast (a few dozen MB); beyond it no join is made.
-MAX_BROADCAST_LABELS = 200_000
-
-
 def name_indicators(
     df: DataFrame,
     label: str,
@@ -55,8 +51,8 @@ def name_indicators(
     """STR-1 as an operator: replaces ``label`` by its standard name.
 
     ``per="label"`` runs the rules once per distinct label: one job over the label
-    column alone writes the names, and they are broadcast to the rows if they are
-    few enough. Otherwise, and with ``per="row"`` (good for aggregated input), the
+    column alone writes the names, and they are broadcast to the rows if their
+    measured size allows. Otherwise, and with ``per="row"`` (good for aggregated input), the
     rules run on every row. Neither way shuffles the rows. With ``keys`` (FLT-4)
     other indicators are dropped.
     """
@@ -65,7 +61,8 @@ def name_indicators(
         clean = raw.select("raw_label", clean_label(F.col("raw_label")).alias("clean"))
         names = clean.select("raw_label", match_rules(F.col("clean"), rules).alias("name"))
         names = materialise(names, "names")
-        if names.count() <= MAX_BROADCAST_LABELS:
+        size = names.agg(F.sum(lookup.row_bytes(names))).first()[0] or 0
+        if size <= lookup.MAX_BROADCAST_BYTES:
             if keys is not None:
                 names = names.where(F.col("name").isin(*keys))
             joined = df.join(F.broadcast(names), F.col(label).eqNullSafe(F.col("raw_label")))
@@ -139,5 +136,5 @@ def split_by_history(
 ) -> tuple[DataFrame, DataFrame]:
     """FLT-5: rows of long enough series, and one ``(service, rows)`` per short one."""
     counts = df.groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
-    enough = attach(df, counts.where(F.col("rows") >= min_rows), ["service"], "rows")
+    enough = lookup.attach(df, counts.where(F.col("rows") >= min_rows), ["service"], "rows")
     return enough.select(*df.columns), counts.where(F.col("rows") < min_rows)

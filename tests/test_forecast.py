@@ -256,9 +256,9 @@ def test_rows_sharing_a_date_are_scored_one_by_one(spark, complete):
     assert forecast(doubled.where("ds < '2022-07-01'")).selection.first()["error"] is None
 
 
-@pytest.mark.parametrize("most, share", [(500_000, 1e-4), (3, 0.2), (3, 1.0)])
+@pytest.mark.parametrize("most, share", [(1 << 20, 1e-4), (99, 0.2), (99, 1.0)])
 def test_attach_by_broadcast_and_by_hot_keys(spark, monkeypatch, most, share):
-    monkeypatch.setattr(lookup, "MAX_BROADCAST_KEYS", most)
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", most)
     monkeypatch.setattr(lookup, "HOT_SHARE", share)
     rows = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 7).alias("key"), "id"

@@ -238,7 +238,7 @@ def test_rules_run_per_row_when_labels_are_many(spark, monkeypatch):
     rows = [(f"TOTAL IRA {i}", 1) for i in range(50)] + [(None, 1), (" x ", 1)]
     df = spark.createDataFrame(rows, "label string, v int")
     few = module.name_indicators(df, "label")
-    monkeypatch.setattr(module, "MAX_BROADCAST_LABELS", 3)
+    monkeypatch.setattr(module.lookup, "MAX_BROADCAST_BYTES", 99)
     many = module.name_indicators(df, "label")
     row = module.name_indicators(df, "label", per="row")
     assert "Join" not in many._jdf.queryExecution().toString()
