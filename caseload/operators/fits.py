@@ -128,7 +128,9 @@ def calendar_forest(days, y, n, yy, future) -> Fit:
     next_month = ahead.astype("M8[M]").astype(int) % 12
     cell = month * years + year
     rows = np.bincount(cell, n, 12 * years)
-    mean = np.bincount(cell, n * y, 12 * years) / np.maximum(rows, 1)
+    # Scaled, so that no square of a sum can overflow.
+    scale = np.abs(y).max()
+    mean = np.bincount(cell, n * (y / scale), 12 * years) / np.maximum(rows, 1)
     draws = np.random.default_rng(SEED).multinomial(int(rows.sum()), rows / rows.sum(), TREES)
 
     def running_sums(grid):
@@ -170,7 +172,7 @@ def calendar_forest(days, y, n, yy, future) -> Fit:
             np.array([tree, m0, np.where(on_month, cut_m, m1), a0, np.where(on_month, a1, cut_a)]),
             np.array([tree, np.where(on_month, cut_m, m0), m1, np.where(on_month, a0, cut_a), a1]),
         ])
-    surface = surface.cumsum(0).cumsum(1) / TREES
+    surface = surface.cumsum(0).cumsum(1) / TREES * scale
     low, high = y.min(), y.max()
     return Fit(
         surface[month, year].clip(low, high), surface[next_month, next_year].clip(low, high), "bagged"
@@ -262,7 +264,9 @@ REGISTRY = {"Prophet": trend_seasonality, "RandomForest": calendar_forest, "ARIM
 
 
 def fit_one(fit, days, y, n, yy, future) -> Fit:
-    """Run one registered fit; a constant series needs none."""
+    """Run one registered fit; a constant series needs none, an endless value gets none."""
+    if not np.isfinite(y).all():
+        raise ValueError("the values are not finite")
     if y.min() == y.max():
         return Fit(np.full(len(y), y[0]), np.full(len(future), y[0]), "constant")
     result = fit(days, y, n, yy, future)

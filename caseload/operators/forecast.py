@@ -51,11 +51,13 @@ def series_arrays(
     """One row per indicator with its dates, counts, means and squares as arrays.
 
     Rows combine to one per date before the shuffle, so an array is as long as
-    the series has dates, whatever the number of rows behind it.
+    the series has dates, whatever the number of rows behind it. A row without a
+    date has no place in a series and is not part of it.
     """
     partitions = partitions or compute_partitions(df.sparkSession)
     return (
         dated_cells(df, unique_dates)
+        .where(F.col("ds").isNotNull())
         .repartition(partitions, "service")
         .groupBy("service")
         .agg(F.sort_array(F.collect_list(F.struct("ds", "n", "y", "yy"))).alias("cells"))
@@ -83,12 +85,16 @@ def _fit_batches(models: Mapping[str, Callable], min_rows: int, too_short: str):
                 if row.n.sum() < min_rows:
                     out.append((row.service, None, None, too_short, *base, None, row.future, None))
                     continue
-                args = [np.asarray(a, dtype=t) for a, t in (
-                    (row.days, "i8"), (row.y, "f8"), (row.n, "f8"), (row.yy, "f8"), (row.future, "i8")
-                )]
                 for name, fit in models.items():
                     try:
-                        fitted, ahead, variant = fit_one(fit, *args)
+                        fitted, ahead, variant = fit_one(
+                            fit,
+                            np.array(row.days, "i8"),
+                            np.array(row.y, "f8"),
+                            np.array(row.n, "f8"),
+                            np.array(row.yy, "f8"),
+                            np.array(row.future, "i8"),
+                        )
                         result = (variant, None, *base, fitted, row.future, ahead)
                     except Exception as problem:  # one model never stops the others
                         result = (None, str(problem) or repr(problem), *base, None, row.future, None)

@@ -310,6 +310,17 @@ def test_arima_search_equals_a_fine_grid():
     assert (e**2).sum() <= min(grid) * (1 + 1e-6)
 
 
+def test_rows_that_cannot_be_fitted(spark, complete):
+    """No date: not in the series. An infinite value: every model fails, visibly."""
+    undated = spark.createDataFrame([("Nb Consultations", None, 5.0)], complete.schema)
+    plain, more = forecast(complete), forecast(complete.unionByName(undated))
+    assert sorted(map(tuple, more.forecasts.collect())) == sorted(map(tuple, plain.forecasts.collect()))
+    endless = complete.withColumn("y", F.when(F.month("ds") == 3, float("inf")).otherwise(F.col("y")))
+    tables = forecast(endless)
+    assert tables.metrics.where("error is not null and score = 0").count() == 3
+    assert tables.selection.first()["error"] == NO_MODEL_ERROR
+
+
 def test_random_walk(complete):
     walk = random_walk(complete, horizon=2).orderBy("ds").collect()
     values = [r["y"] for r in complete.orderBy("ds").collect()]
