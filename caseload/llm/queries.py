@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import language_id, packing, quality
+from caseload.llm import language_id, packing, quality, simhash
 from caseload.llm.common import id_remainder, table
 
 
@@ -30,8 +30,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return found.select("doc_id", digits, "component_id")
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
     "op3_language": (op3_language, None),
+    "op10_simhash": (op10_simhash, None),
 }
