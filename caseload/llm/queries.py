@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import language_id, packing, quality, simhash
+from caseload.llm import language_id, packing, quality, secrets, simhash
 from caseload.llm.common import id_remainder, table
 
 
@@ -30,6 +30,22 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs), ["doc_id"])
+
+    def number(kind):
+        of = secrets.KINDS.index(kind) + 1
+        return F.size(F.filter("base", lambda s: s["kind"] == of)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("found").alias("spans"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -40,5 +56,6 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
     "op3_language": (op3_language, None),
+    "op6_secrets": (op6_secrets, None),
     "op10_simhash": (op10_simhash, None),
 }
