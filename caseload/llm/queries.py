@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import language_id, packing, quality, secrets, simhash
+from caseload.llm import bpe, language_id, packing, quality, secrets, simhash
 from caseload.llm.common import id_remainder, table
 
 
@@ -46,6 +46,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -57,5 +62,6 @@ QUERIES = {
     "op2_quality": (op2_quality, None),
     "op3_language": (op3_language, None),
     "op6_secrets": (op6_secrets, None),
+    "op7_byte_bpe": (op7_byte_bpe, None),
     "op10_simhash": (op10_simhash, None),
 }
