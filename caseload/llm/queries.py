@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import bpe, language_id, packing, quality, secrets, simhash
+from caseload.llm import bpe, embedding_dups, language_id, packing, quality, secrets, simhash, top_k
 from caseload.llm.common import id_remainder, table
 
 
@@ -30,6 +30,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
 
 
+def op5_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(docs), ["doc_id"])
@@ -51,6 +55,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -61,7 +69,9 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
     "op3_language": (op3_language, None),
+    "op5_embedding_dups": (op5_embedding_dups, None),
     "op6_secrets": (op6_secrets, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
+    "op8_top_k": (op8_top_k, None),
     "op10_simhash": (op10_simhash, None),
 }
