@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import bpe, embedding_dups, language_id, packing, quality, secrets, simhash, top_k
+from caseload.llm import bpe, embedding_dups, language_id, packing, quality, revisits, secrets, simhash, top_k
 from caseload.llm.common import id_remainder, table
 
 
@@ -59,6 +59,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve(revisits.captures_of_pages(table(spark, sf_dir, "pages")), revisits.HEADERS)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -73,5 +77,6 @@ QUERIES = {
     "op6_secrets": (op6_secrets, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_top_k": (op8_top_k, None),
+    "op9_revisits": (op9_revisits, revisits.PAGES_SQL),
     "op10_simhash": (op10_simhash, None),
 }
