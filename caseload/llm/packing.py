@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseload.llm.common import text_bytes
+from caseload.llm.common import pieces
 from caseload.session import materialise
 
 WINDOW = 2048
@@ -143,28 +143,27 @@ def cut_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: s
         ranks: dict[int, int] = defaultdict(int)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("task_rank", pa.int64())])
         for batch in batches:
-            data, offsets = text_bytes(batch.column(text))
-            raw = data.tobytes()
-            out: list[list] = [[] for _ in schema]
-            names = batch.column(doc_id).to_pylist()
-            for i, name in enumerate(names):
-                first, done, rest = len(out[0]), 0, b""
-                parts = encoder.parts(raw[offsets[i] : offsets[i + 1]])
-                more = True
-                while more:
-                    part = next(parts, None)
-                    more = part is not None
-                    rest += part if more else END_ID.to_bytes(4, "little")
-                    while len(rest) >= 4 * window or (rest and not more):
-                        ids, rest = rest[: 4 * window], rest[4 * window :]
-                        n = len(ids) // 4
-                        row = (name, done, n, zlib.crc32(ids), 0, ids if with_ids else None, task, ranks[n])
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                        ranks[n] += 1
-                        done += n
-                out[4][first:] = [done] * (len(out[4]) - first)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            for rows, (data, offsets) in pieces(batch, text):
+                raw = data.tobytes()
+                out: list[list] = [[] for _ in schema]
+                for i, name in enumerate(rows.column(doc_id).to_pylist()):
+                    first, done, rest = len(out[0]), 0, b""
+                    parts = encoder.parts(raw[offsets[i] : offsets[i + 1]])
+                    more = True
+                    while more:
+                        part = next(parts, None)
+                        more = part is not None
+                        rest += part if more else END_ID.to_bytes(4, "little")
+                        while len(rest) >= 4 * window or (rest and not more):
+                            ids, rest = rest[: 4 * window], rest[4 * window :]
+                            n = len(ids) // 4
+                            row = (name, done, n, zlib.crc32(ids), 0, ids if with_ids else None, task, ranks[n])
+                            for column, value in zip(out, row, strict=True):
+                                column.append(value)
+                            ranks[n] += 1
+                            done += n
+                    out[4][first:] = [done] * (len(out[4]) - first)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     source = df.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text))
     return source.mapInArrow(run, PIECES)

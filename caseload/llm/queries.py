@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import bpe, embedding_dups, language_id, packing, quality, revisits, secrets, simhash, top_k
+from caseload.llm import bpe, embedding_dups, language_id, max_entropy, packing, quality, revisits, secrets, simhash, top_k
 from caseload.llm.common import id_remainder, table
 
 
@@ -30,6 +30,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
 
 
+def op4_max_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 7) == 2
+    scored = max_entropy.score(docs, max_entropy.train(docs.where(~held_out)))
+    return scored.withColumn("held_out", held_out)
+
+
 def op5_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +80,7 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
     "op3_language": (op3_language, None),
+    "op4_max_entropy": (op4_max_entropy, None),
     "op5_embedding_dups": (op5_embedding_dups, None),
     "op6_secrets": (op6_secrets, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
