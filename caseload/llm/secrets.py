@@ -3,7 +3,7 @@
 Everything runs as DataFrame expressions. The rules give spans of three kinds. Their
 values are the labelled random strings; words of a bounded sample of documents that
 are no such values are the labelled ordinary identifiers. Two first-order Markov
-models over characters, each smoothed towards equal chances, are counted from them; a further
+models over characters are counted from them; a further
 run of ``MIN_RUN`` or more characters whose log-likelihood ratio reaches ``MIN_RATIO``
 is a span of the kind ``random``, unless a rule's span overlaps it.
 
@@ -32,6 +32,7 @@ MIN_RUN = 20
 MIN_RATIO = 10.0  # natural log
 SAMPLE_DOCUMENTS = 2000
 ORDINARY_LENGTH = 8
+ORDINARY_WEIGHT = 10.0  # steps that the fall-back of the ordinary model counts for
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1  # 0 is the start of a string, or any other character
 CHUNK = 256
@@ -139,14 +140,16 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", documents:
         F.explode(F.regexp_extract_all("text", F.lit(f"{RUN}{{{ORDINARY_LENGTH},}}"), F.lit(0))).alias("word"),
     )
     counts = transitions(random.unionByName(ordinary), "word", "label").collect()
+    seen = [[0.0] * (WIDTH * WIDTH) for _ in range(2)]
+    for row in counts:
+        seen[row["label"]][row["step"]] += row["n"]
+    # Random strings fall back on equal chances, ordinary ones on how common a character is.
+    common = [0.1 + sum(seen[0][b::WIDTH]) for b in range(WIDTH)]
+    falls = [[n / sum(common) for n in common], [1 / WIDTH] * WIDTH]
     models = []
-    for label in (0, 1):
-        table = [1.0 if label else 0.5] * (WIDTH * WIDTH)
-        for row in counts:
-            if row["label"] == label:
-                table[row["step"]] += row["n"]
-        sums = [sum(table[a * WIDTH : (a + 1) * WIDTH]) for a in range(WIDTH)]
-        models.append([math.log(n / sums[k // WIDTH]) for k, n in enumerate(table)])
+    for table, fall, weight in zip(seen, falls, (ORDINARY_WEIGHT, WIDTH), strict=True):
+        sums = [sum(table[a * WIDTH : (a + 1) * WIDTH]) + weight for a in range(WIDTH)]
+        models.append([math.log((n + weight * fall[k % WIDTH]) / sums[k // WIDTH]) for k, n in enumerate(table)])
     return [r - o for o, r in zip(*models, strict=True)]
 
 
