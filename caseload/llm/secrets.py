@@ -32,7 +32,7 @@ MIN_RUN = 20
 MIN_RATIO = 10.0  # natural log
 SAMPLE_DOCUMENTS = 2000
 ORDINARY_LENGTH = 8
-ORDINARY_WEIGHT = 10.0  # steps that the fall-back of the ordinary model counts for
+ORDINARY_WEIGHT = 500.0  # steps that the fall-back of the ordinary model counts for
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1  # 0 is the start of a string, or any other character
 CHUNK = 256
