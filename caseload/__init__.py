@@ -4,7 +4,7 @@ from caseload.operators.forecast import ForecastTables, forecast
 from caseload.operators.prepare import prepare
 from caseload.plans.analysis import demand_forecast, load_and_prepare, run_full_analysis
 from caseload.plans.dashboard import dashboard
-from caseload.session import configure, local_session
+from caseload.session import configure, local_session, release
 from caseload.sources.matrices import read_matrices
 from caseload.sources.results import load_results, save_reports, save_results
 
@@ -19,6 +19,7 @@ __all__ = [
     "local_session",
     "prepare",
     "read_matrices",
+    "release",
     "run_full_analysis",
     "save_reports",
     "save_results",

@@ -238,8 +238,13 @@ def _arima_order(y, horizon, order):
 
 
 def arima(days, y, n, yy, future, seasonal_difference=0) -> Fit:
-    """First order of the try-list that can be fitted, on the values in date order."""
-    lag = seasonal_difference if 0 < seasonal_difference < len(y) - 12 else 0
+    """First order of the try-list that can be fitted, on the values in date order.
+
+    A series too short for the seasonal difference is an error, never another model.
+    """
+    lag = seasonal_difference
+    if lag and len(y) - 12 <= lag:
+        raise ValueError(f"a seasonal difference of {lag} needs more than {lag + 12} dates")
     z = y[lag:] - y[: len(y) - lag] if lag else y
     for order in ARIMA_ORDERS:
         try:

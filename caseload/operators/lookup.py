@@ -31,7 +31,7 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Inner join of raw ``rows`` with one row of ``values`` per key.
+    """Inner join of raw ``rows`` with one row of ``values`` per key; null is a key like any other.
 
     ``values[weight]`` is the number of rows behind the key. The values are written
     and measured: a small table is broadcast. Of a large one only the hot keys are,
@@ -42,9 +42,27 @@ def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], weight: str)
     keys = list(keys)
     size, total = values.agg(F.sum(row_bytes(values)), F.sum(weight)).first()
     if (size or 0) <= MAX_BROADCAST_BYTES:
-        return rows.join(F.broadcast(values), keys)
+        return _join(rows, F.broadcast(values), keys)
     is_hot = F.col(weight) > F.lit(float(total) * HOT_SHARE)
     hot, cold = values.where(is_hot), values.where(~is_hot)
-    at_home = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return at_home.unionByName(others.join(cold, keys))
+    at_home = _join(rows, F.broadcast(hot), keys)
+    others = _join(rows, F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return at_home.unionByName(_join(others, cold, keys))
+
+
+def attach_per_service(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """:func:`attach` on ``service`` for ``values`` that do not know their weight.
+
+    The rows are counted per indicator first, which combines before its shuffle, so
+    the raw rows themselves are never dealt out by indicator.
+    """
+    weights = rows.groupBy("service").agg(F.count(F.lit(1)).alias("_rows"))
+    return attach(rows, values.join(weights, "service"), ["service"], "_rows").drop("_rows")
+
+
+def _join(rows: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on null-safe equality of the keys, which come once."""
+    own = {key: f"_key_{key}" for key in keys}
+    values = values.withColumnsRenamed(own)
+    same = [rows[f"`{key}`"].eqNullSafe(values[f"`{name}`"]) for key, name in own.items()]
+    return rows.join(values, same, how).drop(*own.values())

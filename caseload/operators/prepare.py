@@ -34,10 +34,11 @@ def before_year(df: DataFrame, target_year: int | None, ds: str = "ds") -> DataF
 def key_indicators(
     df: DataFrame, keys: Sequence[str] | DataFrame = KEY_INDICATORS, service: str = "service"
 ) -> DataFrame:
-    """FLT-4: keep listed indicators. A DataFrame of keys becomes a semi join."""
+    """FLT-4: keep listed indicators. A DataFrame of keys is joined by measured size."""
     if isinstance(keys, DataFrame):
-        wanted = keys.select(F.col(keys.columns[0]).alias(service))
-        return df.join(wanted, service, "left_semi")
+        wanted = keys.select(F.col(keys.columns[0]).alias(service)).distinct()
+        weights = df.groupBy(service).agg(F.count(F.lit(1)).alias("_rows"))
+        return lookup.attach(df, weights.join(wanted, service), [service], "_rows").drop("_rows")
     return df.where(F.col(service).isin(*keys))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions.rules import MODEL_ORDER, NO_MODEL_ERROR
+from caseload.operators.lookup import attach_per_service
 
 SCORE_BUCKETS = 4096
 
@@ -39,7 +40,7 @@ def best_model(metrics: DataFrame, order: Sequence[str] = MODEL_ORDER) -> DataFr
 def successful(history: DataFrame, selection: DataFrame) -> DataFrame:
     """FLT-6, SET-2: history rows of the indicators that have a forecast."""
     ok = selection.where(F.col("error").isNull()).select("service")
-    return history.join(ok, "service", "left_semi")
+    return attach_per_service(history, ok.distinct())
 
 
 def best_forecast(selection: DataFrame, forecasts: DataFrame) -> DataFrame:

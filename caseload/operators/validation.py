@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseload.operators.forecast import REGISTRY, fit_series, series_arrays
 from caseload.operators.metrics import evaluate, with_score
 from caseload.operators.series import dated_cells
+from caseload.session import materialise
 
 
 def _fold_sizes(dates: Column, fold: Column, folds: int, test_size: float):
@@ -57,6 +58,8 @@ def backtest(
 ) -> DataFrame:
     """Out-of-sample metrics per indicator, model and fold.
 
+    A model that fails on a fold has a row with null metrics, score 0 and its ``error``.
+
     Folds are slices of the series row, so all of them are fitted in the same pass
     and spread over the cluster like series.
     """
@@ -71,9 +74,12 @@ def backtest(
         F.slice("days", F.col("trained") + 1, F.col("tested")).alias("future"),
     )
     fitted = fit_series(parts, models, min_rows=0)
+    fitted = materialise(fitted, "backtest")
+    fold = F.regexp_extract("service", "\\A([0-9]+)", 1).cast("int").alias("fold")
+    service = F.regexp_replace("service", "\\A[0-9]+\u001f", "").alias("service")
     ahead = fitted.where(F.col("error").isNull()).select(
-        F.regexp_extract("service", "\\A([0-9]+)", 1).cast("int").alias("fold"),
-        F.regexp_replace("service", "\\A[0-9]+\u001f", "").alias("service"),
+        fold,
+        service,
         "model",
         F.inline(
             F.transform(
@@ -86,4 +92,6 @@ def backtest(
     )
     truth = dated_cells(df).select("service", "ds", "y")
     scored = ahead.join(truth, ["service", "ds"])
-    return with_score(evaluate(scored, by=("service", "model", "fold")))
+    measured = evaluate(scored, by=("service", "model", "fold"))
+    failed = fitted.where(F.col("error").isNotNull()).select(service, "model", fold, "error")
+    return with_score(measured.unionByName(failed, allowMissingColumns=True))

@@ -23,9 +23,12 @@ def load_and_prepare(spark: SparkSession, path: str, target_year: int | None = N
 
 
 def demand_forecast(
-    df: DataFrame, periods: int | None = 12, target_year: int | None = None
+    df: DataFrame, periods: int | None = None, target_year: int | None = None
 ) -> ForecastTables | None:
-    """MOD-6: forecast ``periods`` months of prepared series; None without data."""
+    """MOD-6: forecast prepared series; None without data.
+
+    Without ``periods`` the horizon follows the target year: 12 months without one.
+    """
     if df.isEmpty():
         return None
     return forecast(df, horizon=periods, target_year=target_year)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseload.functions.scoring import band3, band4, display_score, zero_if_null
+from caseload.operators.lookup import attach_per_service
 from caseload.operators.forecast import ForecastTables
 from caseload.operators.selection import (
     best_forecast,
@@ -109,7 +110,7 @@ def chart_series(tables: ForecastTables) -> DataFrame:
     """RPT-4: the points and the title of every indicator's chart."""
     chosen = _chosen(tables.selection).select("service", "model", "score")
     past = (
-        tables.history.join(chosen, "service")
+        attach_per_service(tables.history, chosen)
         .select("service", F.lit("history").alias("kind"), "model", "ds", F.col("y").alias("value"), "score")
     )
     ahead = (

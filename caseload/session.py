@@ -47,16 +47,36 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path that every executor can reach.
 
-    Clusters name the shared place in ``spark.checkpoint.dir``. Only where no
-    checkpoint folder is set (a single machine) is a local temporary folder used. All folders of
-    one application lie together, so they can be dropped after the run.
+    Clusters name the shared place in ``spark.checkpoint.dir`` or set a checkpoint
+    folder. Only a local master, where all is one machine, falls back on a temporary
+    folder; any other is refused. All folders of one application lie together, so
+    :func:`release` can drop them after the run.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{_application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def _application_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="caseload-")
-        spark.sparkContext.setCheckpointDir(root)
-    run = spark.sparkContext.applicationId
-    return f"{root.rstrip('/')}/caseload/{run}/{purpose}-{uuid.uuid4().hex}"
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="caseload-")
+        root = _LOCAL_ROOTS[context.applicationId]
+    return f"{root.rstrip('/')}/caseload/{context.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has left in the shared folder.
+
+    For the end of a run: no table read back from there can be used afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

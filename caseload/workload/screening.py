@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.operators import quality
+from caseload.operators.prepare import split_by_history
 from caseload.operators.validation import backtest, backtest_splits
 from caseload.plans.reports import summary
 from caseload.workload.tables import (
@@ -102,6 +103,33 @@ def out_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest(supplier_series(spark, sf_dir))
 
 
+def _null_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments as series by return flag, one of which is turned into a null label."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    flag = F.when(F.col("l_returnflag") != "R", F.col("l_returnflag"))
+    return items.select(
+        flag.alias("service"), F.col("l_shipdate").cast("date").alias("ds"), F.col("l_quantity").cast("double").alias("y")
+    )
+
+
+def null_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DCL-7 with a null label: its rows are kept and screened."""
+    flagged = quality.flag_outliers(_null_labels(spark, sf_dir), 1.5)
+    return flagged.groupBy("service").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("outlier").alias("outliers")
+    )
+
+
+def null_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-5 with a null label: a series like any other."""
+    enough, short = split_by_history(_null_labels(spark, sf_dir))
+    sizes = enough.groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.withColumn("enough", F.lit(True)).unionByName(short.withColumn("enough", F.lit(False)))
+
+
+_NULL_LABELS = "SELECT nullif(l_returnflag, 'R') AS service, CAST(l_quantity AS DOUBLE) AS y FROM lineitem"
+
+
 def unit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DCL-12."""
     return rounded(quality.stationarity(supplier_series(spark, sf_dir)))
@@ -201,6 +229,18 @@ QUERIES = {
     "dcl_validation_splits": (splits, SPLITS_SQL),
     "dcl_backtest": (out_of_sample, None),
     "dcl_stationarity": (unit_roots, STATIONARITY_SQL),
+    "dcl_outliers_null_label": (
+        null_outliers,
+        f"""WITH s AS ({_NULL_LABELS}), m AS (
+            SELECT service, avg(y) AS mean, stddev_samp(y) AS deviation FROM s GROUP BY 1)
+        SELECT s.service, count(*) AS rows, count_if(abs(y - mean) > 1.5 * deviation) AS outliers
+        FROM s JOIN m ON s.service IS NOT DISTINCT FROM m.service GROUP BY 1""",
+    ),
+    "flt_history_null_label": (
+        null_history,
+        f"""SELECT service, count(*) AS rows, count(*) >= 12 AS enough
+        FROM ({_NULL_LABELS}) GROUP BY 1""",
+    ),
     "dcl_low_volume": (
         volumes,
         sql("SELECT service, sum(y) AS volume FROM mixed GROUP BY 1 HAVING sum(y) >= 10", "mixed"),

@@ -17,8 +17,11 @@ from caseload.functions.rules import NO_MODEL_ERROR, SHORT_HISTORY_ERROR
 from caseload.operators import fits, kpi, lookup, quality, selection, series
 from caseload.operators.forecast import forecast, random_walk
 from caseload.operators.metrics import evaluate, with_score
+from caseload.operators.prepare import split_by_history
+from caseload.operators.quality import flag_outliers
 from caseload.operators.validation import backtest, backtest_splits
 from caseload.plans import reports
+from caseload.session import materialise, release, shared_folder
 
 MODELS = list(fits.REGISTRY)
 
@@ -455,3 +458,53 @@ def test_many_series_in_one_pass(make_series):
         "overview": 1, "volume": 6, "trend": 108, "models": 18, "forecasts": 72, "curves": 180,
         "errors": 0, "kpis": 1, "disease_alert": 1, "accepted": 6,
     }
+
+
+def test_short_series_for_a_seasonal_difference_is_an_error():
+    days, y = np.arange(20) * 30, np.arange(20.0) ** 2
+    with pytest.raises(ValueError, match="seasonal difference"):
+        fits.arima(days, y, np.ones(20), y * y, days[-1] + np.arange(1, 4) * 30, seasonal_difference=12)
+
+
+def test_backtest_keeps_failures(complete):
+    def broken(*_):
+        raise ValueError("broken")
+
+    found = backtest(complete, models={"ARIMA": fits.arima, "broken": broken}, folds=2).collect()
+    assert {(r["model"], r["fold"]) for r in found} == {(m, f) for m in ("ARIMA", "broken") for f in (1, 2)}
+    assert all(r["error"] == "broken" and r["score"] == 0 and r["mae"] is None for r in found if r["model"] == "broken")
+
+
+def test_demand_forecast_follows_the_target_year(make_series):
+    series = make_series("Paludisme", "2022-01-31", [50 + i % 7 for i in range(24)])
+    ahead = lambda **k: caseload.demand_forecast(series, **k).forecasts.where("kind = 'future' and model = 'ARIMA'").count()
+    assert (ahead(), ahead(target_year=2024), ahead(target_year=2025)) == (12, 1, 12)
+
+
+def test_null_labels_are_kept(spark):
+    rows = [(s, dt.date(2020, 1, d), float(d)) for s in (None, "A") for d in range(1, 21)] + [("B", dt.date(2020, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "service string, ds date, y double")
+    enough, short = split_by_history(df)
+    assert enough.count() == 40 and [r["service"] for r in short.collect()] == ["B"]
+    assert flag_outliers(df).count() == 41
+
+
+def test_shared_folder_needs_a_shared_place():
+    class Context:
+        master, applicationId = "spark://somewhere", "app"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session, "x")
+
+
+def test_release_deletes_the_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("caseload.session._application_folder", lambda _: str(tmp_path))
+    materialise(spark.range(3), "numbers")
+    assert list(tmp_path.rglob("*.parquet"))
+    release(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
