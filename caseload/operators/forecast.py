@@ -86,6 +86,8 @@ def _fit_batches(models: Mapping[str, Callable], min_rows: int, too_short: str):
                     out.append((row.service, None, None, too_short, *base, None, row.future, None))
                     continue
                 for name, fit in models.items():
+                    if row.wanted is not None and name not in row.wanted:
+                        continue
                     try:
                         fitted, ahead, variant = fit_one(
                             fit,
@@ -114,9 +116,11 @@ def fit_series(
 
     ``series`` holds one series per row: ``service, days, n, y, yy, future``.
     The result has one row per series and model (``FIT_SCHEMA``); a series below
-    ``min_rows`` gives one row without model.
+    ``min_rows`` gives one row without model. A further column ``wanted`` may name
+    the models to fit on that series.
     """
-    inputs = series.select("service", "days", "n", "y", "yy", "future")
+    wanted = F.col("wanted") if "wanted" in series.columns else F.lit(None).cast("array<string>").alias("wanted")
+    inputs = series.select("service", "days", "n", "y", "yy", "future", wanted)
     return inputs.mapInPandas(_fit_batches(models, min_rows, too_short), FIT_SCHEMA)
 
 

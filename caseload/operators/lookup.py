@@ -42,12 +42,12 @@ def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str], weight: str)
     keys = list(keys)
     size, total = values.agg(F.sum(row_bytes(values)), F.sum(weight)).first()
     if (size or 0) <= MAX_BROADCAST_BYTES:
-        return _join(rows, F.broadcast(values), keys)
+        return null_safe_join(rows, F.broadcast(values), keys)
     is_hot = F.col(weight) > F.lit(float(total) * HOT_SHARE)
     hot, cold = values.where(is_hot), values.where(~is_hot)
-    at_home = _join(rows, F.broadcast(hot), keys)
-    others = _join(rows, F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return at_home.unionByName(_join(others, cold, keys))
+    at_home = null_safe_join(rows, F.broadcast(hot), keys)
+    others = null_safe_join(rows, F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return at_home.unionByName(null_safe_join(others, cold, keys))
 
 
 def attach_per_service(rows: DataFrame, values: DataFrame) -> DataFrame:
@@ -57,10 +57,10 @@ def attach_per_service(rows: DataFrame, values: DataFrame) -> DataFrame:
     the raw rows themselves are never dealt out by indicator.
     """
     weights = rows.groupBy("service").agg(F.count(F.lit(1)).alias("_rows"))
-    return attach(rows, values.join(weights, "service"), ["service"], "_rows").drop("_rows")
+    return attach(rows, null_safe_join(values, weights, ["service"]), ["service"], "_rows").drop("_rows")
 
 
-def _join(rows: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe_join(rows: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on null-safe equality of the keys, which come once."""
     own = {key: f"_key_{key}" for key in keys}
     values = values.withColumnsRenamed(own)

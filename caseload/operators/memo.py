@@ -1,4 +1,4 @@
-"""Forecast memo: refit only the series whose data changed.
+"""Forecast memo: refit only what is missing: series whose data changed, models that expired.
 
 A memo is a table of fits with ``cache_key, fingerprint, created_at`` in front;
 it is written as Parquet. Versions are folders: purging and clearing write a new
@@ -21,6 +21,7 @@ from caseload.operators.forecast import (
     fit_series,
     series_arrays,
 )
+from caseload.operators.lookup import attach_per_service, null_safe_join
 from caseload.session import materialise
 
 TTL_HOURS = 24
@@ -58,12 +59,14 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def cache_key(prints: DataFrame, models: Sequence[str] = MODEL_ORDER) -> DataFrame:
-    """MEM-2: one key per indicator and model."""
+def cache_key(
+    prints: DataFrame, models: Sequence[str] = MODEL_ORDER, setting: str | None = None
+) -> DataFrame:
+    """MEM-2: one key per indicator and model, and per horizon ``setting`` if one is given."""
     each = prints.select(
         "service", "fingerprint", F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     )
-    key = F.md5(F.concat_ws("_", "service", "model", "fingerprint"))
+    key = F.md5(F.concat_ws("_", "service", "model", "fingerprint", F.lit(setting).cast("string")))
     return each.select(key.alias("cache_key"), "service", "model", "fingerprint")
 
 
@@ -89,7 +92,18 @@ def valid(
     memo: DataFrame, as_of: datetime | str | Column, ttl_hours: float = TTL_HOURS
 ) -> DataFrame:
     """MEM-3 as an operator: the entries that may still be used."""
-    return latest(memo).where(is_valid(F.col("created_at"), _instant(as_of), ttl_hours))
+    return _entries(memo, _usable(memo, as_of, ttl_hours))
+
+
+def _usable(memo: DataFrame, as_of: datetime | str | Column, ttl_hours: float) -> DataFrame:
+    """``cache_key, created_at`` of the usable entries; no other column is read."""
+    newest = memo.groupBy("cache_key").agg(F.max("created_at").alias("created_at"))
+    return newest.where(is_valid(F.col("created_at"), _instant(as_of), ttl_hours))
+
+
+def _entries(memo: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The payload of the wanted ``cache_key, created_at``, one entry per key."""
+    return memo.join(wanted, ["cache_key", "created_at"], "left_semi").dropDuplicates(["cache_key"])
 
 
 def lookup(
@@ -99,11 +113,14 @@ def lookup(
     ttl_hours: float = TTL_HOURS,
     enabled: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """MEM-4, JON-2: usable entries of the wanted keys, and the keys to refit."""
-    usable = valid(memo, as_of, ttl_hours)
+    """MEM-4, JON-2: usable entries of the wanted keys, and the keys to refit.
+
+    Which keys are usable is told from two columns; the arrays are read for hits only.
+    """
+    usable = _usable(memo, as_of, ttl_hours)
     if not enabled:
         usable = usable.where(F.lit(False))
-    hits = usable.join(keys.select("cache_key"), "cache_key", "left_semi")
+    hits = _entries(memo, usable.join(keys.select("cache_key"), "cache_key", "left_semi"))
     misses = keys.join(usable.select("cache_key"), "cache_key", "left_anti")
     return hits, misses
 
@@ -172,20 +189,31 @@ def refresh(
     """Fits of all series, of which only the missing ones are computed.
 
     Returns ``(fits, new_entries)``: the first feeds ``tables_from_fits``, the
-    second is to be stored. The memo does not know horizons: use one memo per
-    horizon setting.
+    second is to be stored. A model that is missing alone is fitted alone. The
+    horizon is part of the key, so one memo may serve several. A short series is
+    stored as well, without a model under each of its keys.
     """
-    keys = cache_key(fingerprint(df), list(models))
+    setting = f"h{horizon}" if horizon else f"y{target_year}" if target_year else None
+    keys = materialise(cache_key(fingerprint(df), list(models), setting), "keys")
     hits, misses = lookup(memo, keys, as_of, ttl_hours)
-    series = series_arrays(df).join(misses.select("service").distinct(), "service", "left_semi")
+    misses = materialise(misses, "misses")
+    asked = misses.groupBy("service").agg(F.collect_set("model").alias("wanted"))
+    # Only rows of missed series are combined and put in order.
+    rows = attach_per_service(df, asked.select("service"))
+    series = null_safe_join(series_arrays(rows), asked, ["service"])
     months = F.lit(horizon) if horizon else horizon_months(F.col("last_ds"), target_year)
     ahead = F.transform(month_ends_after(F.col("last_ds"), months), F.unix_date)
     fresh = materialise(fit_series(series.withColumn("future", ahead), models), "refits")
     names = [field.split()[0] for field in FIT_SCHEMA.split(", ")]
+    missed = misses.select("cache_key", "fingerprint", F.col("service").alias("_service"), F.col("model").alias("_model"))
+    same = missed["_service"].eqNullSafe(fresh["service"]) & (
+        fresh["model"].isNull() | (missed["_model"] == fresh["model"])
+    )
     entries = (
-        misses.join(fresh, ["service", "model"])
+        missed.join(fresh, same)
         .withColumn("created_at", _instant(as_of))
         .select("cache_key", "fingerprint", "created_at", *names)
     )
-    rejected = fresh.where(F.col("model").isNull())
-    return hits.select(*names).unionByName(entries.select(*names)).unionByName(rejected), entries
+    found = hits.select(*names).unionByName(entries.select(*names))
+    rejected = found.where(F.col("model").isNull()).dropDuplicates(["service"])
+    return found.where(F.col("model").isNotNull()).unionByName(rejected), entries

@@ -118,8 +118,24 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reused.join(refits, "service", "left").na.fill(0, ["refits"])
 
 
+def one_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM-4: where one model's entries expired alone, that model alone is fitted again."""
+    series = supplier_series(spark, sf_dir)
+    path = mm.clear(spark, shared_folder(spark, "memo"))
+    _, new = mm.refresh(series, mm.load(spark, path), AS_OF)
+    aged = F.when(F.col("model") == "ARIMA", F.col("created_at") - F.expr("INTERVAL 30 HOURS"))
+    stored = mm.store(new.withColumn("created_at", F.coalesce(aged, "created_at")), shared_folder(spark, "memo"))
+    again, fresh = mm.refresh(series, mm.load(spark, stored), AS_OF)
+    models = again.groupBy("service").agg(F.count("model").alias("models"))
+    return models.join(fresh.select("service", F.col("model").alias("refitted")), "service")
+
+
 _PAIR = "SELECT cache_key, service, model FROM"
 QUERIES = {
+    "mem_one_expired": (
+        one_expired,
+        sql("SELECT service, 3::BIGINT AS models, 'ARIMA' AS refitted FROM sup GROUP BY service", "sup"),
+    ),
     "mem_fingerprint": (fingerprints, sql(_prints_sql("mixed"), "mixed")),
     "mem_cache_key": (keys, sql(KEYS_SQL, "cus")),
     "mem_valid": (valid_entries, sql(f"{_PAIR} ({ENTRIES_SQL}) WHERE age < 24", "cus")),

@@ -73,7 +73,8 @@ def test_refresh_fits_only_what_changed(spark, complete, outlier, short, tmp_pat
     df = complete.unionByName(outlier).unionByName(short)
     empty = memo.load(spark, memo.clear(spark, str(tmp_path / "v0")))
     fits, new = memo.refresh(df, empty, AS_OF)
-    assert new.count() == 6
+    assert new.where("model IS NOT NULL").count() == 6
+    assert new.where("model IS NULL").count() == 3  # the short series, under each of its keys
     path = memo.store(new, str(tmp_path / "v1"))
     changed = df.withColumn("y", F.when(F.col("service") == "Service Outlier", F.col("y") + 1).otherwise(F.col("y")))
     again, fresh = memo.refresh(changed, memo.load(spark, path), AS_OF)
@@ -82,3 +83,26 @@ def test_refresh_fits_only_what_changed(spark, complete, outlier, short, tmp_pat
     picked = {r["service"]: r["error"] for r in tables.selection.collect()}
     assert picked["Nb Consultations"] is None and picked["Service Outlier"] is None
     assert picked["Consultations PF"].startswith("Données historiques")
+
+
+def test_refresh_keeps_horizons_apart_and_refits_single_models(spark, complete, short, tmp_path):
+    df = complete.unionByName(short)
+    empty = memo.load(spark, memo.clear(spark, str(tmp_path / "v0")))
+    _, new = memo.refresh(df, empty, AS_OF, horizon=3)
+    aged = F.when(F.col("model") == "ARIMA", F.lit("2024-04-01 00:00:00").cast("timestamp"))
+    path = memo.store(new.withColumn("created_at", F.coalesce(aged, "created_at")), str(tmp_path / "v1"))
+    stored = memo.load(spark, path)
+    again, fresh = memo.refresh(df, stored, AS_OF, horizon=3)
+    assert [(r["service"], r["model"]) for r in fresh.collect()] == [("Nb Consultations", "ARIMA")]
+    assert again.where("model IS NULL").count() == 1
+    assert {len(r["ahead"]) for r in again.where("model IS NOT NULL").collect()} == {3}
+    longer, fresh = memo.refresh(df, stored, AS_OF, horizon=6)
+    assert fresh.where("model IS NOT NULL").count() == 3
+    assert {len(r["ahead"]) for r in longer.where("model IS NOT NULL").collect()} == {6}
+
+
+def test_refresh_of_a_null_label(spark, complete, tmp_path):
+    df = complete.withColumn("service", F.lit(None).cast("string"))
+    empty = memo.load(spark, memo.clear(spark, str(tmp_path / "v0")))
+    fits, new = memo.refresh(df, empty, AS_OF)
+    assert fits.count() == 3 and new.count() == 3
