@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.functions.rules import KEY_INDICATORS
@@ -41,6 +41,7 @@ def run_full_analysis(
     target_year: int | None = None,
     keys: Sequence[str] = KEY_INDICATORS,
     sep: str = ",",
+    year_of: Callable[[Column], Column] | None = None,
 ) -> ForecastTables:
     """Read all matrices, forecast, store results and reports under ``output``.
 
@@ -49,7 +50,7 @@ def run_full_analysis(
     back from the store, so no report runs a fit again.
     """
     output = output.rstrip("/")
-    long, problems = read_matrices(spark, paths, sep=sep, keep=True)
+    long, problems = read_matrices(spark, paths, sep=sep, keep=True, year_of=year_of)
     problems.write.mode("overwrite").parquet(f"{output}/ingest_errors")
     write_long_csv(long, f"{output}/long")
     series = prepare(long, target_year, keys).select("service", "ds", "y")

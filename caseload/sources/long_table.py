@@ -28,13 +28,18 @@ def read_long_csv(
     """SRC-4: read a long CSV; refuse one without the required columns or rows.
 
     Extra columns are kept. Without a schema every column is read as text: the
-    file is never scanned to guess types.
+    file is never scanned to guess types. Columns are taken by name, in the order
+    of the file; a folder whose files disagree on their header is refused when it is read.
     """
-    schema = schema or text_schema(csv_header(spark, path))
-    missing = [name for name in REQUIRED if name not in schema.fieldNames()]
+    names = csv_header(spark, path)
+    missing = [name for name in REQUIRED if name not in names]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    typed = {field.name: field for field in schema.fields} if schema else {}
+    fields = [typed.get(field.name, field) for field in text_schema(names).fields]
+    df = spark.read.schema(T.StructType(fields)).option("header", True).csv(path, enforceSchema=False)
+    if schema:
+        df = df.select(*[f"`{name}`" for name in schema.fieldNames() if name in names])
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")
     return df

@@ -10,7 +10,7 @@ detection runs once and the planner knows the table's size.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +27,7 @@ from caseload.functions.text import (
     strip,
     year_from_name,
 )
-from caseload.session import compute_partitions, materialise
+from caseload.session import materialise
 
 MONTH_OF = {word: n for n, words in MONTH_SPELLINGS.items() for word in words}
 
@@ -53,26 +53,25 @@ def data_cells(line: Column, sep: str = ",") -> Column:
     return F.transform(split_cells(line, sep), lambda c: F.when(~c.isin(*MISSING_CELLS), c))
 
 
-def _freeze_splits(spark: SparkSession) -> None:
-    """Make every scan of the session cut and pack files alike.
-
-    Row places are compared between scans. Spark sizes splits by the cores it has
-    at that moment, which changes while executors come and go.
-    """
-    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(compute_partitions(spark)))
+def _file_url() -> Column:
+    """The file of a scanned row; local URLs are written with one slash."""
+    return F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")).alias("file")
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8") -> DataFrame:
-    """Lines of text files with their place: ``file, block, pos, line``."""
-    _freeze_splits(spark)
+    """Lines of text files with their place: ``file, block, pos, line``.
+
+    The places are those of one scan. Spark cuts files by the cores it has at that
+    moment, so the lines are written once and every later step reads that copy.
+    """
     text = spark.read.option("encoding", encoding).text(list(paths))
-    return text.select(
-        F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")).alias("file"),
+    lines = text.select(
+        _file_url(),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.regexp_replace("value", "\\A\ufeff", "").alias("line"),
     )
+    return materialise(lines, "lines")
 
 
 def _headers(lines: DataFrame, sep: str, header_rows: int) -> DataFrame:
@@ -112,9 +111,12 @@ def _headers(lines: DataFrame, sep: str, header_rows: int) -> DataFrame:
     return splits.select("file").distinct().join(in_time, "file", "left")
 
 
-def _described(headers: DataFrame, default_year: int) -> DataFrame:
+def _described(headers: DataFrame, default_year: int, year_of: Callable[[Column], Column] | None) -> DataFrame:
     """Add the year, the month columns and the keyword label column of every file."""
     names = F.transform("names", lambda c: F.upper(strip(c)))
+    # The scan names files as URLs: undo the escapes, their digits are no year.
+    path = F.coalesce(F.try_url_decode("file"), "file")
+    year = year_of(path).cast("int") if year_of else year_from_name(path, default_year)
     # A name that repeats word for word is a copy of the first column, not a month.
     months = F.filter(
         F.transform(
@@ -137,8 +139,7 @@ def _described(headers: DataFrame, default_year: int) -> DataFrame:
     )
     return headers.select(
         "*",
-        # The scan names files as URLs: undo the escapes, their digits are no year.
-        year_from_name(F.coalesce(F.try_url_decode("file"), "file"), default_year).alias("year"),
+        F.coalesce(year, F.lit(default_year)).alias("year"),
         months.alias("months"),
         F.try_element_at(keyword, F.lit(1)).alias("keyword_at"),
     ).withColumn(
@@ -179,23 +180,30 @@ def parse_matrices(
     header_rows: int = 10,
     sep: str = ",",
     keep: bool = False,
+    year_of: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """SRC-1/2, PRJ-1/2/3/5/7, FLT-1/2, RSH-1 on ``file, block, pos, line`` rows.
 
     Returns ``(date, SERVICE, valeur)`` rows of all good files and
     ``(file, reason)`` of the rejected ones. ``keep`` writes the rows once, for
     callers that use them more than once: the text is then parsed only here.
+    ``year_of`` takes the year from a file's path in another way than by its name.
     """
-    long, errors, _ = _parse(lines, default_year, header_rows, sep, keep)
+    long, errors, _ = _parse(lines, default_year, header_rows, sep, keep, year_of)
     return long, errors
 
 
 def _parse(
-    lines: DataFrame, default_year: int, header_rows: int, sep: str, keep: bool
+    lines: DataFrame,
+    default_year: int,
+    header_rows: int,
+    sep: str,
+    keep: bool,
+    year_of: Callable[[Column], Column] | None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Long rows, rejected files, and all files that hold a line."""
     described = materialise(
-        _described(_headers(lines, sep, header_rows), default_year), "headers"
+        _described(_headers(lines, sep, header_rows), default_year, year_of), "headers"
     )
     good = described.where(F.col("reason").isNull())
     placed = good.withColumn("label_at", F.col("keyword_at"))
@@ -256,14 +264,13 @@ def _existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], lis
     return there, missing
 
 
-def _plain_url(url: str) -> str:
-    """Listing and scan write local URLs with three slashes or one."""
-    return url.replace("file:///", "file:/", 1)
-
-
 def _unread_files(spark: SparkSession, paths: Sequence[str], seen: DataFrame) -> DataFrame:
-    """Listed files that gave no line at all, i.e. empty ones."""
-    listed = [(_plain_url(url), "empty file") for url in spark.read.text(list(paths)).inputFiles()]
+    """Listed files that gave no line at all, i.e. empty ones.
+
+    Scans leave out files without a byte, so the names come from the listing that
+    Spark's file index holds for the scan anyway.
+    """
+    listed = [(url.replace("file:///", "file:/", 1), "empty file") for url in spark.read.text(list(paths)).inputFiles()]
     return spark.createDataFrame(listed, "file string, reason string").join(
         seen, "file", "left_anti"
     )
@@ -277,17 +284,18 @@ def read_matrices(
     sep: str = ",",
     encoding: str = "utf-8",
     keep: bool = False,
+    year_of: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """SRC-3: consolidate many matrix files; bad ones are listed, not fatal.
 
-    Fails only if none of the paths exists.
+    Fails only if none of the paths exists. ``year_of`` as in :func:`parse_matrices`.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
     there, missing = _existing(spark, wanted)
     if not there:
         raise FileNotFoundError(f"no matrix file found: {', '.join(wanted)}")
     lines = read_lines(spark, there, encoding)
-    long, errors, seen = _parse(lines, default_year, header_rows, sep, keep)
+    long, errors, seen = _parse(lines, default_year, header_rows, sep, keep, year_of)
     errors = errors.unionByName(_unread_files(spark, there, seen))
     if missing:
         absent = spark.createDataFrame(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.functions.rules import MONTH_SPELLINGS
@@ -17,10 +17,11 @@ from caseload.functions.text import (
 )
 from caseload.operators.prepare import before_year, key_indicators, monthly_view, name_indicators, prepare
 from caseload.operators.series import union_years
+from caseload.plans.analysis import run_full_analysis
 from caseload.plans.reports import all_reports
 from caseload.session import materialise, shared_folder
 from caseload.sources.long_table import read_long_csv, write_long_csv
-from caseload.sources.matrices import label_column, matrix_to_long, parse_matrices
+from caseload.sources.matrices import label_column, matrix_to_long, parse_matrices, read_matrices
 from caseload.sources.results import load_results, save_reports, save_results
 from caseload.workload.tables import (
     SQL_KEYS,
@@ -123,6 +124,83 @@ SELECT DISTINCT '/matrices/nation_' || s_nationkey || '_releve' || year(l_shipda
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey % 25 >= 10"""
 
 
+def year_folder(path: Column) -> Column:
+    """The year of a matrix that lies in a folder ``year=…``."""
+    return F.regexp_extract(path, "/year=([0-9]{4})/", 1)
+
+
+def write_matrices(lines: DataFrame, folders: list[str]) -> str:
+    """One text file per folder, its lines in the order of ``pos``."""
+    spark = lines.sparkSession
+    path = shared_folder(spark, "matrix-files")
+    ordered = lines.repartition(*folders).sortWithinPartitions(*folders, "pos")
+    ordered.select(*folders, "line").write.partitionBy(*folders).text(path)
+    return path
+
+
+def _matrix_files(spark: SparkSession, sf_dir: str, preamble_rows: int) -> str:
+    """The yearly matrices as files in folders by year and nation."""
+    lines = matrix_lines(spark, sf_dir, preamble_rows).select(
+        F.regexp_extract("file", "releve([0-9]{4})", 1).alias("year"),
+        F.regexp_extract("file", "nation_([0-9]+)", 1).alias("nation"),
+        "pos",
+        "line",
+    )
+    return write_matrices(lines, ["year", "nation"])
+
+
+def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1, SRC-3 on real files, with an empty one among them and a missing path."""
+    path = _matrix_files(spark, sf_dir, PREAMBLE)
+    spark.createDataFrame([], "line string").coalesce(1).write.text(f"{path}/year=1900/nation=none")
+    return read_matrices(spark, [path, f"{path}/absent"], year_of=year_folder)[0]
+
+
+def matrix_file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3: how many files were rejected, by reason."""
+    path = _matrix_files(spark, sf_dir, 25)
+    spark.createDataFrame([], "line string").coalesce(1).write.text(f"{path}/year=1900/nation=none")
+    problems = read_matrices(spark, [path, f"{path}/absent"], year_of=year_folder)[1]
+    return problems.groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+MATRIX_FILE_ERRORS_SQL = """
+SELECT 'no header row with a month name' AS reason, count(*) AS files FROM (
+  SELECT DISTINCT s_nationkey, year(l_shipdate) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+  WHERE s_nationkey % 25 >= 10)
+HAVING count(*) > 0
+UNION ALL SELECT 'empty file', 1
+UNION ALL SELECT 'file does not exist', 1"""
+
+
+def order_matrices(spark: SparkSession, sf_dir: str) -> str:
+    """Monthly orders per raw indicator as one matrix file per year."""
+    made = F.col("o_orderdate")
+    cells = [
+        F.coalesce(F.sum(F.when(F.month(made) == m, 1)).cast("string"), F.lit("")).alias(f"m{m}")
+        for m in range(1, 13)
+    ]
+    counts = read(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year(made).alias("year")).agg(*cells)
+    body = counts.select(
+        "year",
+        F.lit(1).alias("pos"),
+        F.concat_ws(",", priority_label(F.col("o_orderpriority")), *[f"m{m}" for m in range(1, 13)]).alias("line"),
+    )
+    heading = F.lit(",".join(["Indicateur", *FRENCH_MONTHS]))
+    head = counts.select("year").distinct().select("year", F.lit(0).alias("pos"), heading.alias("line"))
+    return write_matrices(head.unionByName(body), ["year"])
+
+
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrix files to stored results and reports; the history the run has kept, and its outcome."""
+    output = shared_folder(spark, "run")
+    tables = run_full_analysis(spark, order_matrices(spark, sf_dir), output, year_of=year_folder)
+    chosen = tables.selection.select("service", F.col("model").isNotNull().alias("has_model"))
+    listed = spark.read.parquet(f"{output}/reports_*/summary").select(F.col("Service").alias("service")).distinct()
+    chosen = chosen.join(listed.withColumn("reported", F.lit(True)), "service", "left")
+    return tables.history.join(chosen, "service").select("service", "ds", "y", "has_model", "reported")
+
+
 def label_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-2: position of the first text column per file."""
     lines = matrix_lines(spark, sf_dir, 1, label_first=False).where(F.col("pos") > 0)
@@ -372,6 +450,11 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "src_matrix_files": (matrix_files, MATRIX_LONG_SQL),
+    "src_matrix_file_errors": (matrix_file_errors, MATRIX_FILE_ERRORS_SQL),
+    "run_full_analysis": (
+        whole_run, sql("SELECT service, ds, y, TRUE AS has_model, TRUE AS reported FROM series", "series"),
+    ),
     "src_matrix_scan": (matrix_scan, MATRIX_LONG_SQL),
     "src_matrix_label_guess": (matrix_label_guess, MATRIX_LONG_SQL),
     "src_matrix_errors": (matrix_errors, MATRIX_ERRORS_SQL),

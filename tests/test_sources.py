@@ -286,3 +286,34 @@ def test_csv_reports(spark, tmp_path, complete):
     assert written == ["s"]
     back = spark.read.option("header", True).csv(f"{tmp_path}/s")
     assert back.columns[:3] == ["Service", "Meilleur Modèle", "Score Composite"]
+
+
+def test_long_csv_is_read_by_name(spark, folder, tmp_path):
+    path = folder("long.csv", "SERVICE,valeur,date\nA,1.5,2024-01-01\n")
+    schema = "date string, SERVICE string, valeur double"
+    found = read_long_csv(spark, path, spark.createDataFrame([], schema).schema)
+    assert rows(found) == [("2024-01-01", "A", 1.5)]
+    assert rows(read_long_csv(spark, path).select("SERVICE", "valeur")) == [("A", "1.5")]
+
+
+def test_long_csv_of_unlike_headers_is_refused(spark, tmp_path):
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.csv").write_text("date,SERVICE,valeur\n2024-01-01,A,1\n")
+    (mixed / "b.csv").write_text("SERVICE,date,valeur\nB,2024-02-01,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_long_csv(spark, str(mixed)).collect()
+
+
+def test_reading_matrices_leaves_the_session_as_it_was(spark, folder):
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    read_matrices(spark, folder("matrix_2020.csv", "Service,JANVIER\nX,1\n"))
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) == before
+
+
+def test_year_from_a_folder(spark, tmp_path):
+    place = tmp_path / "year=2019"
+    place.mkdir()
+    (place / "part-00001234.csv").write_text("Service,JANVIER\nX,1\n")
+    long, _ = read_matrices(spark, str(tmp_path), year_of=lambda path: F.regexp_extract(path, "/year=([0-9]{4})/", 1))
+    assert rows(long) == [(dt.date(2019, 1, 1), "X", 1.0)]
