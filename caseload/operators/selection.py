@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from caseload.functions.rules import MODEL_ORDER, NO_MODEL_ERROR
 from caseload.operators.lookup import attach_per_service
-
-SCORE_BUCKETS = 4096
+from caseload.session import materialise
 
 
 def best_model(metrics: DataFrame, order: Sequence[str] = MODEL_ORDER) -> DataFrame:
@@ -62,41 +61,33 @@ def score_ranks(selection: DataFrame, score: str = "score") -> DataFrame:
     """Distinct scores with row count, rank (1 = best) and total, fully distributed.
 
     Equal scores are counted before anything is ordered, so a score shared by a
-    third of all indicators is one row here. The ranks are built from the
-    counts of fixed score buckets, whose number is bounded, plus the order
-    inside a bucket.
+    third of all indicators is one row here. The distinct scores are dealt out by
+    ranges that follow the data and written, so that the ranges stay as they are;
+    ranks are the counts of the ranges before plus the order inside a range.
     """
-    counts = (
-        selection.groupBy(F.col(score).alias("score"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn(
-            "bucket",
-            F.greatest(
-                F.lit(0),
-                F.least(F.lit(SCORE_BUCKETS - 1), F.floor(F.col("score") * SCORE_BUCKETS)),
-            ).cast("int"),
-        )
-    )
-    ordered = Window.orderBy(F.desc("bucket"))
+    counts = selection.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("rows"))
+    parts = counts.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
+    parts = materialise(parts, "scores")
+    ordered = Window.orderBy("part")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
-        counts.groupBy("bucket")
-        .agg(F.sum("rows").alias("bucket_rows"))
+        parts.groupBy("part")
+        .agg(F.sum("rows").alias("part_rows"))
         .select(
-            "bucket",
-            F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("offset"),
-            F.sum("bucket_rows").over(everything).alias("total_rows"),
+            "part",
+            F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("offset"),
+            F.sum("part_rows").over(everything).alias("total_rows"),
         )
     )
     inside = (
-        Window.partitionBy("bucket")
+        Window.partitionBy("part")
         .orderBy(F.desc("score"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     better = F.col("offset") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
-    # At most SCORE_BUCKETS rows: a proven bound for the broadcast.
-    return counts.join(F.broadcast(offsets), "bucket").select(
+    # One row per shuffle partition: a proven bound for the broadcast.
+    return parts.join(F.broadcast(offsets), "part").select(
         "score", "rows", (better + 1).alias("rank"), "total_rows"
     )
 

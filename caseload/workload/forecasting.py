@@ -117,6 +117,51 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.forecasts.where(F.col("kind") == "future")
 
 
+def demand_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD-6, DAT-3: which months are forecast with and without a target year."""
+    history = orders_series(spark, sf_dir, target_year=2001)
+
+    def dates(target_year: int | None) -> DataFrame:
+        rows = demand_forecast(history, target_year=target_year).forecasts
+        rows = rows.where(F.col("kind") == "future").select("service", "model", "ds")
+        return rows.withColumn("target_year", F.lit(target_year).cast("int"))
+
+    return dates(None).unionByName(dates(2003))
+
+
+DEMAND_DATES_SQL = sql(
+    """SELECT service, model, last_day(last_ds + to_months(CAST(k AS INTEGER))) AS ds, target_year
+FROM (SELECT service, max(ds) AS last_ds FROM series WHERE ds < DATE '2001-01-01' GROUP BY service)
+CROSS JOIN (VALUES ('Prophet'), ('RandomForest'), ('ARIMA')) AS m(model)
+CROSS JOIN (VALUES (CAST(NULL AS INTEGER)), (2003)) AS t(target_year)
+CROSS JOIN range(1, 40) AS steps(k)
+WHERE k <= CASE WHEN target_year IS NULL THEN 12
+  ELSE 12 - month(last_ds) + 12 * (2003 - year(last_ds) - 1) END""",
+    "series",
+)
+
+
+def level_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD-1..3, MOD-7: on suppliers' series held at their mean, every model repeats it exactly."""
+    history = supplier_series(spark, sf_dir)
+    level = history.groupBy("service").agg(F.round(F.avg("y"), 3).alias("y"))
+    flat = history.select("service", "ds").join(level, "service")
+    tables = forecast(flat, unique_dates=True)
+    return tables.forecasts.select("service", "model", "ds", "yhat", "kind")
+
+
+LEVEL_SQL = sql(
+    """SELECT service, model, ds, yhat, kind FROM (
+  SELECT service, ds, 'fitted' AS kind FROM sup
+  UNION ALL
+  SELECT service, last_day(last_ds + to_months(CAST(k AS INTEGER))), 'future'
+  FROM (SELECT service, max(ds) AS last_ds FROM sup GROUP BY service) CROSS JOIN range(1, 13) AS steps(k))
+JOIN (SELECT service, round(avg(y), 3) AS yhat FROM sup GROUP BY service) USING (service)
+CROSS JOIN (VALUES ('Prophet'), ('RandomForest'), ('ARIMA')) AS m(model)""",
+    "sup",
+)
+
+
 def failing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-7: one model that always fails next to one that works."""
 
@@ -234,6 +279,8 @@ QUERIES = {
     "mod_many_series": (many_series, MANY_SQL),
     "mod_shared_dates": (shared_dates, None),
     "mod_demand_forecast": (demand, None),
+    "mod_demand_dates": (demand_dates, DEMAND_DATES_SQL),
+    "mod_level_series": (level_models, LEVEL_SQL),
     "mod_failure_capture": (failing_model, FAILING_SQL),
     "mod_selection_table": (
         selection, sql("SELECT * FROM selection", "selection", doubles="score"),

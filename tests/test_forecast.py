@@ -508,3 +508,20 @@ def test_release_deletes_the_folder(spark, tmp_path, monkeypatch):
     assert list(tmp_path.rglob("*.parquet"))
     release(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_ranks_of_crowded_and_unbounded_scores(spark):
+    scores = [0.5 + k * 1e-9 for k in range(3000)] + [-4.0, 7.5, 7.5, 0.5]
+    rows = [(f"s{k}", "ARIMA", float(v), None) for k, v in enumerate(scores)]
+    table = spark.createDataFrame(rows, "service string, model string, score double, error string")
+    expected = {f"s{k}": 1 + sum(o > v for o in scores) for k, v in enumerate(scores)}
+    assert {r["service"]: r["rank"] for r in selection.rank_services(table).collect()} == expected
+    stats = selection.score_stats(table).first()
+    assert (stats["max_score"], stats["min_score"]) == (7.5, -4.0)
+    assert stats["median_score"] == pytest.approx(float(np.median(scores)), abs=1e-12)
+
+
+def test_history_of_a_null_label_is_attached(spark, complete):
+    history = complete.withColumn("service", F.lit(None).cast("string"))
+    chosen = spark.createDataFrame([(None, "ARIMA", 0.5, None)], "service string, model string, score double, error string")
+    assert selection.successful(history, chosen).count() == history.count()
