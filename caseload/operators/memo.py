@@ -197,6 +197,9 @@ def refresh(
     keys = materialise(cache_key(fingerprint(df), list(models), setting), "keys")
     hits, misses = lookup(memo, keys, as_of, ttl_hours)
     misses = materialise(misses, "misses")
+    names = [field.split()[0] for field in FIT_SCHEMA.split(", ")]
+    if misses.isEmpty():
+        return _rejected_once(hits.select(*names)), memo.sparkSession.createDataFrame([], MEMO_SCHEMA)
     asked = misses.groupBy("service").agg(F.collect_set("model").alias("wanted"))
     # Only rows of missed series are combined and put in order.
     rows = attach_per_service(df, asked.select("service"))
@@ -204,7 +207,6 @@ def refresh(
     months = F.lit(horizon) if horizon else horizon_months(F.col("last_ds"), target_year)
     ahead = F.transform(month_ends_after(F.col("last_ds"), months), F.unix_date)
     fresh = materialise(fit_series(series.withColumn("future", ahead), models), "refits")
-    names = [field.split()[0] for field in FIT_SCHEMA.split(", ")]
     missed = misses.select("cache_key", "fingerprint", F.col("service").alias("_service"), F.col("model").alias("_model"))
     same = missed["_service"].eqNullSafe(fresh["service"]) & (
         fresh["model"].isNull() | (missed["_model"] == fresh["model"])
@@ -214,6 +216,10 @@ def refresh(
         .withColumn("created_at", _instant(as_of))
         .select("cache_key", "fingerprint", "created_at", *names)
     )
-    found = hits.select(*names).unionByName(entries.select(*names))
+    return _rejected_once(hits.select(*names).unionByName(entries.select(*names))), entries
+
+
+def _rejected_once(found: DataFrame) -> DataFrame:
+    """A short series lies in the memo under each of its keys; it counts once."""
     rejected = found.where(F.col("model").isNull()).dropDuplicates(["service"])
-    return found.where(F.col("model").isNotNull()).unionByName(rejected), entries
+    return found.where(F.col("model").isNotNull()).unionByName(rejected)
