@@ -27,7 +27,7 @@ BLOCK, QUERIES, GROUP = 1024, 1024, 16
 COORDINATE_FROM = 0.3  # local threshold from which the coordinate bound is the sharper one
 
 ROW = "vec_id long, norm double, v binary"
-BLOCKS = "top double, ids binary, norms binary, v binary, width int"
+BLOCKS = "part int, at int, ids binary, norms binary, v binary, width int"
 
 
 def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
@@ -52,18 +52,24 @@ def _unpacked(raws: list[bytes]) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Runs of ``size`` rows by falling length, each packed into one row."""
+    """Runs of ``size`` rows by falling length, each packed into one row and numbered by length.
+
+    Ranges of length follow each other, so a block's number is its place in its range
+    after the blocks of the ranges before: only their counts meet in one task.
+    """
 
     def pack(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        part, at = TaskContext.get().partitionId(), 0
         ids, norms, raws = [], [], []
 
         def out(n):
             x = _unpacked(raws[:n])
-            row = [[norms[0]], [np.array(ids[:n], "<i8").tobytes()], [np.array(norms[:n], "<f8").tobytes()], [x.tobytes()], [x.shape[1]]]
-            kinds = (pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["top", "ids", "norms", "v", "width"])
+            row = [[part], [at], [np.array(ids[:n], "<i8").tobytes()], [np.array(norms[:n], "<f8").tobytes()], [x.tobytes()], [x.shape[1]]]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["part", "at", "ids", "norms", "v", "width"])
 
         for batch in batches:
             ids += batch.column("vec_id").to_pylist()
@@ -71,14 +77,18 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             raws += batch.column("v").to_pylist()
             while len(ids) >= size:
                 yield out(size)
+                at += 1
                 ids, norms, raws = ids[size:], norms[size:], raws[size:]
         if ids:
             yield out(len(ids))
 
     ordered = rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     packed = materialise(ordered.mapInArrow(pack, BLOCKS), "blocks")
-    # One row per block, numbered by length.
-    return packed.withColumn("number", F.row_number().over(Window.orderBy(F.desc("top"), F.xxhash64("ids"))) - 1)
+    # One row per range: the blocks of the ranges before it.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return packed.join(before, "part").withColumn("number", (F.col("before") + F.col("at")).cast("int")).drop("part", "at", "before")
 
 
 class Best:
