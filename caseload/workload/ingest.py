@@ -237,6 +237,17 @@ def long_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(read_long_csv(spark, path))
 
 
+def mixed_long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-4: one folder of CSV files that write their columns in two orders, one with a further column."""
+    path = shared_folder(spark, "mixed")
+    long = orders_long(spark, sf_dir).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    early = F.coalesce(F.substring("date", 1, 4) < "1995", F.lit(True))
+    long.where(early).select("date", "SERVICE", "valeur").write.option("header", True).csv(path)
+    other = long.where(~early).select("valeur", F.lit("x").alias("note"), "SERVICE", "date")
+    other.write.option("header", True).mode("append").csv(path)
+    return prepare(read_long_csv(spark, path, mixed_headers=True).drop("note"))
+
+
 def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-2, SRC-5: save the result tables for one run year and read one back."""
     path = save_results(closed_tables(spark, sf_dir), shared_folder(spark, "results"), 2001)
@@ -462,6 +473,9 @@ QUERIES = {
     "snk_long_csv_round_trip": (
         long_csv_round_trip, sql("SELECT ds, service, y FROM series", "series"),
     ),
+    "src_long_csv_mixed_headers": (
+        mixed_long_csv, sql("SELECT ds, service, y FROM series", "series"),
+    ),
     "snk_results_round_trip": (
         stored_results, sql("SELECT * FROM selection", "selection", doubles="score"),
     ),

@@ -305,6 +305,24 @@ def test_long_csv_of_unlike_headers_is_refused(spark, tmp_path):
         read_long_csv(spark, str(mixed)).collect()
 
 
+def test_long_csv_of_unlike_headers_is_united_by_name(spark, tmp_path):
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.csv").write_text("date,SERVICE,valeur\n2024-01-01,A,1\n2024-01-02,A,5\n")
+    (mixed / "b.csv").write_text('SERVICE,"date",valeur,zone\nB,2024-02-01,2,n\n')
+    (mixed / "c.csv").write_text("date,SERVICE,valeur\n2024-03-01,C,3\n")
+    (mixed / "d.csv").write_text("")
+    wanted = [("2024-01-01", "A", "1", None), ("2024-01-02", "A", "5", None), ("2024-02-01", "B", "2", "n"), ("2024-03-01", "C", "3", None)]
+    found = read_long_csv(spark, str(mixed), mixed_headers=True)
+    assert sorted(map(tuple, found.select("date", "SERVICE", "valeur", "zone").collect()), key=str) == wanted
+    schema = spark.createDataFrame([], "valeur double, date string, SERVICE string").schema
+    typed = read_long_csv(spark, str(mixed), schema, mixed_headers=True)
+    assert rows(typed) == [(1.0, "2024-01-01", "A"), (2.0, "2024-02-01", "B"), (3.0, "2024-03-01", "C"), (5.0, "2024-01-02", "A")]
+    (mixed / "e.csv").write_text("date,SERVICE\n2024-03-01,C\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        read_long_csv(spark, str(mixed), mixed_headers=True)
+
+
 def test_reading_matrices_leaves_the_session_as_it_was(spark, folder):
     before = spark.conf.get("spark.sql.files.minPartitionNum", None)
     read_matrices(spark, folder("matrix_2020.csv", "Service,JANVIER\nX,1\n"))
