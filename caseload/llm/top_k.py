@@ -27,7 +27,7 @@ BLOCK, QUERIES, GROUP = 1024, 1024, 16
 COORDINATE_FROM = 0.3  # local threshold from which the coordinate bound is the sharper one
 
 ROW = "vec_id long, norm double, v binary"
-BLOCKS = "part int, at int, ids binary, norms binary, v binary, width int"
+BLOCKS = "part int, at int, ids binary, norms binary, v binary, width int, item int"
 
 
 def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
@@ -51,6 +51,12 @@ def _unpacked(raws: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(raw.ljust(8 * width, b"\0"), "<i8") for raw in raws]) if raws else np.zeros((0, 0), np.int64)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes that hold them all."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(f"<i{n}" for n in (1, 2, 4, 8) if -(1 << 8 * n - 1) <= low and high < 1 << 8 * n - 1))
+
+
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """Runs of ``size`` rows by falling length, each packed into one row and numbered by length.
 
@@ -66,10 +72,11 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         ids, norms, raws = [], [], []
 
         def out(n):
-            x = _unpacked(raws[:n])
-            row = [[part], [at], [np.array(ids[:n], "<i8").tobytes()], [np.array(norms[:n], "<f8").tobytes()], [x.tobytes()], [x.shape[1]]]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["part", "at", "ids", "norms", "v", "width"])
+            x = _narrow(_unpacked(raws[:n]))
+            row = [[part], [at], [np.array(ids[:n], "<i8").tobytes()], [np.array(norms[:n], "<f8").tobytes()], [x.tobytes()], [x.shape[1]], [x.itemsize]]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            names = ["part", "at", "ids", "norms", "v", "width", "item"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
             ids += batch.column("vec_id").to_pylist()
@@ -178,7 +185,7 @@ def _search(k):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, norms = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["norms"], "<f8")
-                x = np.frombuffer(row["v"], "<i8").reshape(len(ids), row["width"])
+                x = np.frombuffer(row["v"], f"<i{row['item']}").astype(np.int64).reshape(len(ids), row["width"])
                 if row["kind"] == 0:
                     if best is not None:
                         yield out()
@@ -203,11 +210,11 @@ def search(df: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id",
     # The stated queries against all rows, block by block.
     left = asked.select(
         F.col("number").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
-        F.lit(0).alias("kind"), F.lit(0).alias("at"), "ids", "norms", "v", "width",
+        F.lit(0).alias("kind"), F.lit(0).alias("at"), "ids", "norms", "v", "width", "item",
     )
     right = blocks.select(
         F.explode(F.sequence(F.lit(0), F.lit(max(n_asked - 1, 0)))).alias("qb"), (F.col("number") % groups).alias("g"),
-        F.lit(1).alias("kind"), F.col("number").alias("at"), "ids", "norms", "v", "width",
+        F.lit(1).alias("kind"), F.col("number").alias("at"), "ids", "norms", "v", "width", "item",
     )
     met = left.unionByName(right).repartition("qb", "g").sortWithinPartitions("qb", "g", "kind", "at")
     some = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
