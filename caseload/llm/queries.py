@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import bpe, embedding_dups, language_id, max_entropy, packing, quality, revisits, secrets, simhash, top_k
+from caseload.llm import (
+    bpe, embedding_dups, language_id, max_entropy, merkle, packing, quality, revisits, secrets, simhash, top_k,
+)
 from caseload.llm.common import id_remainder, table
 
 
@@ -76,6 +78,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(id_remainder("doc_id", 5) == 0, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    proved = merkle.prove(docs, tampered)
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
@@ -87,4 +98,5 @@ QUERIES = {
     "op8_top_k": (op8_top_k, None),
     "op9_revisits": (op9_revisits, revisits.PAGES_SQL),
     "op10_simhash": (op10_simhash, None),
+    "op11_merkle": (op11_merkle, None),
 }
