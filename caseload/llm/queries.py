@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.llm import (
-    bpe, embedding_dups, language_id, max_entropy, merkle, packing, quality, revisits, secrets, simhash, top_k,
+    alignment, bpe, embedding_dups, language_id, max_entropy, merkle, packing, quality, revisits, secrets, simhash, top_k,
 )
 from caseload.llm.common import id_remainder, table
 
@@ -87,6 +87,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.link_counts(docs, a, b, ["doc_id"])
+    return found.select(
+        F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
@@ -99,4 +108,5 @@ QUERIES = {
     "op9_revisits": (op9_revisits, revisits.PAGES_SQL),
     "op10_simhash": (op10_simhash, None),
     "op11_merkle": (op11_merkle, None),
+    "op12_alignment": (op12_alignment, None),
 }
