@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.llm import (
-    alignment, bpe, embedding_dups, language_id, max_entropy, merkle, packing, quality, revisits, secrets, simhash, top_k,
+    alignment, bpe, embedding_dups, language_id, max_entropy, merkle, packing, quality, revisits, secrets, simhash, top_k, toxicity,
 )
 from caseload.llm.common import id_remainder, table
 
@@ -96,6 +96,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = id_remainder("doc_id", 5) != 0
+    labels = table(spark, sf_dir, "labels").where(training)
+    model = toxicity.train(docs.where(training), labels)
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
@@ -109,4 +118,5 @@ QUERIES = {
     "op10_simhash": (op10_simhash, None),
     "op11_merkle": (op11_merkle, None),
     "op12_alignment": (op12_alignment, None),
+    "op13_toxicity": (op13_toxicity, None),
 }
