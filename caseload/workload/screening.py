@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.operators import quality
+from caseload.operators import quality, sarima
 from caseload.operators.prepare import split_by_history
 from caseload.operators.validation import backtest, backtest_splits
 from caseload.plans.reports import summary
@@ -173,6 +173,72 @@ INTERVALS_SQL = sql(
 )
 
 
+def seasonal_arima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DCL-16: (1,1,1)(1,1,1,12) coefficients of every supplier series by two-stage regression."""
+    return rounded(sarima.two_stage(supplier_series(spark, sf_dir)))
+
+
+def _lag_sql(column: str, k: int) -> str:
+    return f"max({column}) OVER (PARTITION BY service ORDER BY m RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING)"
+
+
+def _gram_sql(xs: list[str], y: str, ok: str) -> tuple[list[str], str, str]:
+    """Sums of a regression over the rows where ``ok`` holds, the augmented rows, the right side."""
+    sums = [f"count(CASE WHEN {ok} THEN 1 END) AS n"]
+    for i, a in enumerate(xs):
+        sums += [f"sum(CASE WHEN {ok} THEN {a} * {b} END) AS g_{a}_{b}" for b in xs[i:]]
+        sums.append(f"sum(CASE WHEN {ok} THEN {a} * {y} END) AS g_{a}_{y}")
+    sums.append(f"sum(CASE WHEN {ok} THEN {y} * {y} END) AS g_{y}_{y}")
+
+    def g(a: str, b: str) -> str:
+        return f"g_{a}_{b}" if xs.index(a) <= xs.index(b) else f"g_{b}_{a}"
+
+    flat = ", ".join(cell for a in xs for cell in (*[g(a, b) for b in xs], f"g_{a}_{y}"))
+    return sums, f"[{flat}]", "[" + ", ".join(f"g_{a}_{y}" for a in xs) + "]"
+
+
+def _solve_sql(flat: str, n: int) -> str:
+    """Gauss-Jordan over the augmented rows, as in ``sarima.solve``: the reduced array."""
+    w = n + 1
+    pivot = f"m[k * {w} + k + 1]"
+    cell = (
+        f"CASE WHEN (idx - 1) // {w} = k THEN v / nullif({pivot}, 0) "
+        f"ELSE v - m[((idx - 1) // {w}) * {w} + k + 1] * (m[k * {w} + (idx - 1) % {w} + 1] / nullif({pivot}, 0)) END"
+    )
+    return f"list_reduce(range(0, {n}), lambda m, k: list_transform(m, lambda v, idx: {cell}), {flat})"
+
+
+def _seasonal_sql(season: int = sarima.SEASON, long_order: int = sarima.LONG_ORDER) -> str:
+    lags = [f"w{k}" for k in range(1, long_order + 1)]
+    ok1 = " AND ".join(f"{c} IS NOT NULL" for c in ["w", *lags])
+    sums1, flat1, _ = _gram_sql(lags, "w", ok1)
+    n1 = len(lags)
+    seasonal = (1, season, season + 1)
+    regs = [f"w{k}" for k in seasonal] + [f"e{k}" for k in seasonal]
+    ok2 = " AND ".join(f"{c} IS NOT NULL" for c in ["w", *regs])
+    sums2, flat2, right2 = _gram_sql(regs, "w", ok2)
+    n2 = len(regs)
+    guess = "0.0" + "".join(f" + alpha[{i + 1}] * {c}" for i, c in enumerate(lags))
+    explained = f"list_reduce(list_transform(range(0, {n2}), lambda i: beta[i + 1] * b[i + 1]), lambda acc, x: acc + x, 0.0)"
+    coefficients = ", ".join(f"beta[{i + 1}] AS {name}" for i, name in enumerate(sarima.NAMES))
+    return sql(
+        f"""WITH cells AS (SELECT service, year(ds) * 12 + month(ds) AS m, sum(y) AS y FROM sup WHERE y IS NOT NULL AND ds IS NOT NULL GROUP BY 1, 2),
+diffs AS (SELECT service, m, y - {_lag_sql("y", 1)} - {_lag_sql("y", season)} + {_lag_sql("y", season + 1)} AS w FROM cells),
+first AS (SELECT service, m, w, {", ".join(f"{_lag_sql('w', k)} AS w{k}" for k in range(1, long_order + 1))} FROM diffs),
+fitted AS (SELECT service, n AS n_long, CASE WHEN n >= {2 * long_order} THEN list_transform(range(0, {n1}), lambda i: red[i * {n1 + 1} + {n1} + 1]) END AS alpha
+  FROM (SELECT *, {_solve_sql(flat1, n1)} AS red FROM (SELECT service, {", ".join(sums1)} FROM first GROUP BY service))),
+shocks AS (SELECT service, m, w, n_long, CASE WHEN {ok1} THEN w - ({guess}) END AS e FROM first JOIN fitted USING (service)),
+second AS (SELECT service, m, w, n_long, {", ".join(f"{_lag_sql('w', k)} AS w{k}" for k in seasonal)},
+  {", ".join(f"{_lag_sql('e', k)} AS e{k}" for k in seasonal)} FROM shocks),
+solved AS (SELECT service, n_long, n AS n_rows, g_w_w AS ww, {right2} AS b,
+  CASE WHEN n >= {4 * n2} THEN list_transform(range(0, {n2}), lambda i: red[i * {n2 + 1} + {n2} + 1]) END AS beta
+  FROM (SELECT *, {_solve_sql(flat2, n2)} AS red FROM (SELECT service, n_long, {", ".join(sums2)} FROM second GROUP BY service, n_long)))
+SELECT service, n_long, n_rows, {coefficients}, (ww - {explained}) / nullif(n_rows - {n2}, 0) AS sigma2 FROM solved""",
+        "sup",
+        doubles=", ".join([*sarima.NAMES, "sigma2"]),
+    )
+
+
 def short_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DCL-15: two places, metric columns switched off."""
     return quality.round_report(rounded(summary(closed_tables(spark, sf_dir))), 2, metrics=False)
@@ -246,6 +312,7 @@ QUERIES = {
         sql("SELECT service, sum(y) AS volume FROM mixed GROUP BY 1 HAVING sum(y) >= 10", "mixed"),
     ),
     "dcl_intervals": (bounds, INTERVALS_SQL),
+    "dcl_seasonal_arima": (seasonal_arima, _seasonal_sql()),
     "dcl_round_report": (
         short_report,
         sql(
