@@ -8,16 +8,17 @@ U+2581 as a space and ``<0xHH>`` as the byte HH.
 
 Method per text (inside an Arrow task): cumulative byte ends of both token lists go
 into end-to-index dictionaries; their keys' hash-set intersection, sorted, slices
-both id lists into groups. Within each slice, links are expanded from the merged ends
-of both sides: every stretch between two consecutive ends lies in one A and one B
-token, and those pairs are exactly the overlapping ones, each once.
+both id lists into groups. Links are expanded per slice from the merged ends of both
+sides: every stretch between two consecutive ends lies in one A and one B token, and
+those pairs are exactly the overlapping ones, each once. Slices end where both sides
+end, so all slices are expanded in one vectorised pass over the text.
 
 Across the corpus (Spark): each text's distinct linked id pairs are counted by
 documents with a map-side combined aggregate; the highest count per A id follows
 from that table; links are then joined with the counts and summed per text.
 
 Defined cases: a null or empty text, or one whose joined A or B bytes differ from
-space + text, has no tokens: zero counts, no links, ``groups`` ''. Every row is a
+space + text, has no tokens: zero counts, no links, ``groups`` and its digest ''. Every row is a
 document of its own (repeated rows are counted twice; a null ``doc_id`` is kept).
 Ties for an A id's highest count all count as best. An empty table gives no rows.
 Kept columns named like the added ones are replaced by them.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -101,35 +103,53 @@ def b_table(model) -> Table:
     return Table(entries)
 
 
-def align(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
-    """Groups as ``a_cut, b_cut`` (slice ends) and links as index pairs of one text."""
-    to_a = {int(e): i for i, e in enumerate(ends_a.tolist())}
-    to_b = {int(e): i for i, e in enumerate(ends_b.tolist())}
+def align(ends_a: np.ndarray, ends_b: np.ndarray):
+    """Groups as ``a_cut, b_cut`` (slice ends) and links as index pairs of one text.
+
+    The slices come from the intersection of the two end-to-index dictionaries. Links
+    are expanded for all slices at once: slices are cut where both sides end, so the
+    merged ends of the whole text are those of every slice, and each stretch between
+    two of them lies in one A and one B token of the same slice.
+    """
+    to_a = dict(zip(ends_a.tolist(), range(len(ends_a)), strict=True))
+    to_b = dict(zip(ends_b.tolist(), range(len(ends_b)), strict=True))
     common = sorted(to_a.keys() & to_b.keys())
-    a_cut = np.array([to_a[e] + 1 for e in common], np.int64)
-    b_cut = np.array([to_b[e] + 1 for e in common], np.int64)
-    links_a, links_b = [], []
-    a0 = b0 = 0
-    for a1, b1 in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-        merged = np.union1d(ends_a[a0:a1], ends_b[b0:b1])
-        links_a.append(a0 + np.searchsorted(ends_a[a0:a1], merged, "left"))
-        links_b.append(b0 + np.searchsorted(ends_b[b0:b1], merged, "left"))
-        a0, b0 = a1, b1
-    join = (lambda parts: np.concatenate(parts)) if links_a else (lambda parts: np.zeros(0, np.int64))
-    return a_cut, b_cut, join(links_a), join(links_b)
+    if not common:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a_cut = np.array(itemgetter(*common)(to_a), np.int64).reshape(-1) + 1
+    b_cut = np.array(itemgetter(*common)(to_b), np.int64).reshape(-1) + 1
+    merged = np.union1d(ends_a, ends_b)
+    return a_cut, b_cut, np.searchsorted(ends_a, merged, "left"), np.searchsorted(ends_b, merged, "left")
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: each slice's A ids, then its B ids."""
+    group = np.concatenate([np.searchsorted(a_cut, np.arange(len(a)), "right"), np.searchsorted(b_cut, np.arange(len(b)), "right")])
+    side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
+    order = np.lexsort((np.arange(len(group)), side, group))
+    if len(order) == 0:
+        return ""
+    group, side = group[order], side[order]
+    if len(np.unique(group * 2 + side)) != 2 * (group[-1] + 1):  # a slice without ids of one side
+        return _groups_by_slice(a, b, a_cut, b_cut)
+    marks = np.array([",", "|", ";"])[np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(np.int64))]
+    out = [""] * (2 * len(order) - 1)
+    out[0::2] = map(str, np.concatenate([a, b])[order].tolist())
+    out[1::2] = marks.tolist()
+    return "".join(out)
+
+
+def _groups_by_slice(a, b, a_cut, b_cut) -> str:
     out, a0, b0 = [], 0, 0
-    sa, sb = a.astype(str), b.astype(str)
     for a1, b1 in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-        out.append(",".join(sa[a0:a1]) + "|" + ",".join(sb[b0:b1]))
+        out.append(",".join(map(str, a[a0:a1].tolist())) + "|" + ",".join(map(str, b[b0:b1].tolist())))
         a0, b0 = a1, b1
     return ";".join(out)
 
 
-def _encoder(a_path: str, b_path: str):
+def _encoder(a_path: str, b_path: str, with_groups: bool):
     def make():
+        import pyarrow as pa
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -141,44 +161,58 @@ def _encoder(a_path: str, b_path: str):
         def run(data: np.ndarray, offsets: np.ndarray):
             raw = data.tobytes()
             texts = [raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in range(len(offsets) - 1)]
-            ids_a = first.encode_batch([" " + t for t in texts], add_special_tokens=False)
+            # one text at a time: the batch call's threads add CPU time, not speed, in a task
             ids_b = second.encode(texts, out_type=int, num_threads=1)
-            cols = [[] for _ in ADDED.fields]
-            for text, ea, ib in zip(texts, ids_a, ids_b, strict=True):
-                for col, value in zip(cols, one(text, np.array(ea.ids, np.int64), np.array(ib, np.int64)), strict=True):
-                    col.append(value)
-            return cols
+            counts, groups, digests, keys, links = [], [], [], [], []
+            for text, ib in zip(texts, ids_b, strict=True):
+                a = np.array(first.encode(" " + text, add_special_tokens=False).ids, np.int64) if text else np.zeros(0, np.int64)
+                n, g, k, m = one(text, a, np.array(ib, np.int64))
+                counts.append(n)
+                groups.append(g if with_groups else None)
+                digests.append(hashlib.sha256(g.encode()).hexdigest() if n[0] else "")
+                keys.append(k)
+                links.append(m)
+            counts = np.array(counts, np.int64).reshape(-1, 4)
+            at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+            flat_keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            flat_links = np.concatenate(links) if links else np.zeros(0, np.int64)
+            return (
+                *[counts[:, i] for i in range(4)], groups, digests,
+                pa.ListArray.from_arrays(at, pa.array(flat_keys)), pa.ListArray.from_arrays(at, pa.array(flat_links)),
+            )
 
         def one(text: str, a: np.ndarray, b: np.ndarray):
             whole = np.frombuffer((" " + text).encode(), np.uint8)
             if not text or not np.array_equal(table_a.join(a), whole) or not np.array_equal(table_b.join(b), whole):
-                return 0, 0, 0, 0, "", "", [], []
+                return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
             ends_a, ends_b = np.cumsum(table_a.lengths[a]), np.cumsum(table_b.lengths[b])
-            a_cut, b_cut, la, lb = align(a, b, ends_a, ends_b)
+            a_cut, b_cut, la, lb = align(ends_a, ends_b)
             keys, links = np.unique(a[la] * B_IDS + b[lb], return_counts=True)
-            groups = groups_text(a, b, a_cut, b_cut)
-            digest = hashlib.sha256(groups.encode()).hexdigest()
-            return len(a), len(b), len(a_cut), len(la), groups, digest, keys.tolist(), links.tolist()
+            return (len(a), len(b), len(a_cut), len(la)), groups_text(a, b, a_cut, b_cut), keys, links.astype(np.int64)
 
         return run
 
     return make
 
 
-def align_texts(df: DataFrame, a_path: str, b_path: str, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """``keep`` columns plus n_a, n_b, n_groups, n_links, groups, groups_sha256, and per
-    text its distinct linked pair keys (A id * 65536 + B id) with their link counts."""
-    return map_texts(df, text, keep, ADDED, _encoder(a_path, b_path))
+def align_texts(df: DataFrame, a_path: str, b_path: str, keep: Sequence[str], text: str = "text", with_groups: bool = False) -> DataFrame:
+    """``keep`` columns plus n_a, n_b, n_groups, n_links, groups (null unless
+    ``with_groups``), groups_sha256, and per text its distinct linked pair keys
+    (A id * 65536 + B id) with their link counts."""
+    return map_texts(df, text, keep, ADDED, _encoder(a_path, b_path, with_groups))
 
 
-def link_counts(df: DataFrame, a_path: str, b_path: str, keep: Sequence[str], text: str = "text") -> DataFrame:
+def link_counts(
+    df: DataFrame, a_path: str, b_path: str, keep: Sequence[str], text: str = "text", with_groups: bool = False
+) -> DataFrame:
     """:func:`align_texts` per row, plus n_best and count_sum from corpus-wide pair counts.
 
     An id pair's count is the number of documents that hold it linked; ``count_sum``
     adds the counts over a text's links, ``n_best`` counts the links whose count is
     the highest of their A id.
     """
-    aligned = align_texts(df.withColumn("_row", F.monotonically_increasing_id()), a_path, b_path, [*keep, "_row"], text)
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    aligned = align_texts(rows, a_path, b_path, [*keep, "_row"], text, with_groups)
     aligned = materialise(aligned, "alignment")
     pairs = aligned.select("_row", F.explode(F.arrays_zip("pair_keys", "pair_links")).alias("p")).select(
         "_row", F.col("p.pair_keys").alias("key"), F.col("p.pair_links").alias("links")

@@ -77,7 +77,7 @@ def test_against_two_pointers(spark):
     texts = [None, "", "Hello  world\n\tthe <s> x", "<|endoftext|> done", "naïve café 日本語 😀", "a" * 3000, "x y",
              "x y", "Über\r\nline   nbsp", "tab\tand  spaces   ", "ﬁ ligature ½"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(alignment.link_counts(df.withColumn("n_a", df.doc_id), A, B, ["doc_id", "n_a"]).collect())
+    got = sorted(alignment.link_counts(df.withColumn("n_a", df.doc_id), A, B, ["doc_id", "n_a"], with_groups=True).collect())
     want = brute(texts)
     docs = collections.Counter(pair for *_, links in want for pair in links)
     top = collections.defaultdict(int)
