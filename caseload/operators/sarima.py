@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload.functions.dates import month_index
 
@@ -109,3 +110,65 @@ def two_stage(df: DataFrame, season: int = SEASON, long_order: int = LONG_ORDER)
     sigma2 = F.try_divide(F.col("ww") - explained, F.col("n_rows") - len(regressors))
     coefficients = [F.col("beta")[i].alias(name) for i, name in enumerate(NAMES)]
     return solved.select("service", "n_long", "n_rows", *coefficients, sigma2.alias("sigma2"))
+
+
+HORIZON = 12
+
+
+def _lag_polynomials(season: int) -> tuple[dict[int, list[tuple[int, str]]], dict[int, str]]:
+    """The y-level AR coefficients as sums of signed terms, and the MA coefficients.
+
+    (1 - phi B - Phi B^s - phi_13 B^(s+1)) times the two differences
+    (1 - B)(1 - B^s); a coefficient a_k of y_t = sum a_k y_(t-k) + ... is minus the
+    product's coefficient at k. Terms are listed in a fixed order, so that every
+    engine adds them alike.
+    """
+    model = {0: (1, None), 1: (-1, "phi"), season: (-1, "seasonal_phi"), season + 1: (-1, "phi_13")}
+    diff = {0: 1, 1: -1, season: -1, season + 1: 1}
+    ar: dict[int, list[tuple[int, str]]] = {}
+    for i, (sign, name) in model.items():
+        for j, d in diff.items():
+            if i + j:
+                ar.setdefault(i + j, []).append((-sign * d, name))
+    ma = {1: "theta", season: "seasonal_theta", season + 1: "theta_13"}
+    return ar, ma
+
+
+def _term(sign: int, name: str | None) -> Column:
+    value = F.lit(1.0) if name is None else F.col(name)
+    return value if sign > 0 else -value
+
+
+def psi_bands(coefficients: DataFrame, level: float = 0.95, horizon: int = HORIZON, season: int = SEASON) -> DataFrame:
+    """DCL-14 for DCL-16: per service and step k (1 to ``horizon``), psi_(k-1) and the
+    half width z * sqrt(sigma2 * sum of psi_j^2 for j < k) of a forecast k months ahead.
+
+    The psi weights of the integrated model follow the recurrence
+    psi_0 = 1, psi_j = ma_j + sum over i of a_i psi_(j-i), run as one ``aggregate``
+    over an array per series. Null coefficients give null weights and widths.
+    """
+    from statistics import NormalDist
+
+    ar, ma = _lag_polynomials(season)
+    order = max(ar)
+    a = F.array(*[sum((_term(s, n) for s, n in ar.get(k, [])), F.lit(0.0)) if k in ar else F.lit(0.0) for k in range(1, order + 1)])
+    m = F.array(*[F.col(ma[k]) if k in ma else F.lit(0.0) for k in range(1, horizon)] or [F.lit(0.0)])
+
+    def step(acc: Column, j: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            return s + F.when(i <= j, F.element_at("a", i) * F.element_at(acc, j - i + 1)).otherwise(F.lit(0.0))
+
+        return F.concat(acc, F.array(F.element_at("m", j) + F.aggregate(F.sequence(F.lit(1), F.lit(order)), F.lit(0.0), add)))
+
+    # elements may be null: an array of non-null elements would turn a null weight into 0.0
+    first = F.array(F.lit(1.0)).cast(T.ArrayType(T.DoubleType(), True))
+    psi = F.aggregate(F.sequence(F.lit(1), F.lit(horizon - 1)), first, step) if horizon > 1 else first
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    squares = F.transform(
+        F.sequence(F.lit(1), F.lit(horizon)),
+        lambda k: F.aggregate(F.slice("psi", 1, k), F.lit(0.0), lambda s, p: s + p * p),
+    )
+    weights = coefficients.select("service", "sigma2", a.alias("a"), m.alias("m")).select("service", "sigma2", psi.alias("psi"))
+    rows = weights.select("service", "sigma2", F.posexplode(F.arrays_zip("psi", squares.alias("sq"))).alias("k", "w"))
+    width = F.lit(z) * F.sqrt(F.col("sigma2") * F.col("w.sq"))
+    return rows.select("service", (F.col("k") + 1).alias("step"), F.col("w.psi").alias("psi"), width.alias("half_width"))

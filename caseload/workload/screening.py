@@ -208,7 +208,8 @@ def _solve_sql(flat: str, n: int) -> str:
     return f"list_reduce(range(0, {n}), lambda m, k: list_transform(m, lambda v, idx: {cell}), {flat})"
 
 
-def _seasonal_sql(season: int = sarima.SEASON, long_order: int = sarima.LONG_ORDER) -> str:
+def _seasonal_body(season: int = sarima.SEASON, long_order: int = sarima.LONG_ORDER) -> str:
+    """The coefficients of ``sarima.two_stage`` as SQL over the CTE ``sup``, unrounded."""
     lags = [f"w{k}" for k in range(1, long_order + 1)]
     ok1 = " AND ".join(f"{c} IS NOT NULL" for c in ["w", *lags])
     sums1, flat1, _ = _gram_sql(lags, "w", ok1)
@@ -221,8 +222,7 @@ def _seasonal_sql(season: int = sarima.SEASON, long_order: int = sarima.LONG_ORD
     guess = "0.0" + "".join(f" + alpha[{i + 1}] * {c}" for i, c in enumerate(lags))
     explained = f"list_reduce(list_transform(range(0, {n2}), lambda i: beta[i + 1] * b[i + 1]), lambda acc, x: acc + x, 0.0)"
     coefficients = ", ".join(f"beta[{i + 1}] AS {name}" for i, name in enumerate(sarima.NAMES))
-    return sql(
-        f"""WITH cells AS (SELECT service, year(ds) * 12 + month(ds) AS m, sum(y) AS y FROM sup WHERE y IS NOT NULL AND ds IS NOT NULL GROUP BY 1, 2),
+    return f"""WITH cells AS (SELECT service, year(ds) * 12 + month(ds) AS m, sum(y) AS y FROM sup WHERE y IS NOT NULL AND ds IS NOT NULL GROUP BY 1, 2),
 diffs AS (SELECT service, m, y - {_lag_sql("y", 1)} - {_lag_sql("y", season)} + {_lag_sql("y", season + 1)} AS w FROM cells),
 first AS (SELECT service, m, w, {", ".join(f"{_lag_sql('w', k)} AS w{k}" for k in range(1, long_order + 1))} FROM diffs),
 fitted AS (SELECT service, n AS n_long, CASE WHEN n >= {2 * long_order} THEN list_transform(range(0, {n1}), lambda i: red[i * {n1 + 1} + {n1} + 1]) END AS alpha
@@ -233,9 +233,41 @@ second AS (SELECT service, m, w, n_long, {", ".join(f"{_lag_sql('w', k)} AS w{k}
 solved AS (SELECT service, n_long, n AS n_rows, g_w_w AS ww, {right2} AS b,
   CASE WHEN n >= {4 * n2} THEN list_transform(range(0, {n2}), lambda i: red[i * {n2 + 1} + {n2} + 1]) END AS beta
   FROM (SELECT *, {_solve_sql(flat2, n2)} AS red FROM (SELECT service, n_long, {", ".join(sums2)} FROM second GROUP BY service, n_long)))
-SELECT service, n_long, n_rows, {coefficients}, (ww - {explained}) / nullif(n_rows - {n2}, 0) AS sigma2 FROM solved""",
+SELECT service, n_long, n_rows, {coefficients}, (ww - {explained}) / nullif(n_rows - {n2}, 0) AS sigma2 FROM solved"""
+
+
+def _seasonal_sql() -> str:
+    return sql(_seasonal_body(), "sup", doubles=", ".join([*sarima.NAMES, "sigma2"]))
+
+
+def seasonal_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DCL-14 for DCL-16: psi weights and 95 % half widths, 1 to 12 months ahead."""
+    return rounded(sarima.psi_bands(sarima.two_stage(supplier_series(spark, sf_dir))))
+
+
+def _bands_sql(level: float = 0.95, horizon: int = sarima.HORIZON, season: int = sarima.SEASON) -> str:
+    from statistics import NormalDist
+
+    ar, ma = sarima._lag_polynomials(season)
+    order = max(ar)
+
+    def term(sign: int, name: str | None) -> str:
+        value = "1.0" if name is None else name
+        return value if sign > 0 else f"(-{value})"
+
+    a = ", ".join(("0.0" + "".join(f" + {term(*t)}" for t in ar[k])) if k in ar else "0.0" for k in range(1, order + 1))
+    m = ", ".join(ma.get(k, "0.0") for k in range(1, horizon)) or "0.0"
+    inner = f"list_reduce(range(1, {order + 1}), lambda s, i: s + CASE WHEN i <= j THEN a[i] * acc[j - i + 1] ELSE 0.0 END, 0.0)"
+    psi = f"list_reduce(range(1, {horizon}), lambda acc, j: list_concat(acc, [m[j] + {inner}]), [1.0])" if horizon > 1 else "[1.0]"
+    squares = f"list_transform(range(1, {horizon + 1}), lambda k: list_reduce(list_slice(psi, 1, k), lambda s, p: s + p * p, 0.0))"
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    return sql(
+        f"""SELECT service, step, psi[step] AS psi, {z!r} * sqrt(sigma2 * sq[step]) AS half_width FROM (
+  SELECT service, sigma2, psi, {squares} AS sq, unnest(range(1, {horizon + 1})) AS step FROM (
+    SELECT service, sigma2, {psi} AS psi FROM (
+      SELECT service, sigma2, [{a}] AS a, [{m}] AS m FROM ({_seasonal_body(season)}))))""",
         "sup",
-        doubles=", ".join([*sarima.NAMES, "sigma2"]),
+        doubles="psi, half_width",
     )
 
 
@@ -313,6 +345,7 @@ QUERIES = {
     ),
     "dcl_intervals": (bounds, INTERVALS_SQL),
     "dcl_seasonal_arima": (seasonal_arima, _seasonal_sql()),
+    "dcl_seasonal_bands": (seasonal_bands, _bands_sql()),
     "dcl_round_report": (
         short_report,
         sql(

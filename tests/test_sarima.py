@@ -68,7 +68,7 @@ def test_short_constant_and_gapped_series(spark):
     assert "n" not in got  # no dated value: no series
 
 
-@pytest.mark.parametrize("name", ["dcl_seasonal_arima"])
+@pytest.mark.parametrize("name", ["dcl_seasonal_arima", "dcl_seasonal_bands"])
 def test_query_against_sql(spark, sf_dir, name):
     import __spark_entry__ as entry
     from oracle import connect, differences
@@ -76,3 +76,41 @@ def test_query_against_sql(spark, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     assert differences(df, connect(sf_dir), entry.oracle_sql()[name]) == []
     assert df.where("phi IS NOT NULL").count() > 0
+
+
+def psi_numpy(row, horizon: int = 12) -> np.ndarray:
+    """psi weights of the y-level model by long division of the MA by the AR polynomial."""
+    ar = np.zeros(27)
+    ar[0], ar[1], ar[12], ar[13] = 1.0, -row["phi"], -row["seasonal_phi"], -row["phi_13"]
+    full = np.convolve(ar, np.convolve([1.0, -1.0], np.r_[1.0, np.zeros(11), -1.0]))
+    ma = np.zeros(horizon)
+    ma[0] = 1.0
+    for k, name in ((1, "theta"), (12, "seasonal_theta"), (13, "theta_13")):
+        if k < horizon:
+            ma[k] = row[name]
+    psi = np.zeros(horizon)
+    for j in range(horizon):
+        psi[j] = ma[j] - sum(full[i] * psi[j - i] for i in range(1, min(j, len(full) - 1) + 1))
+    return psi
+
+
+def test_psi_bands_against_division(spark):
+    y = simulate(480, 0.5, 0.3, 0.2, -0.3)
+    fit = sarima.two_stage(series(spark, "A", y))
+    row = fit.collect()[0].asDict()
+    bands = sorted(sarima.psi_bands(fit, horizon=15).collect(), key=lambda r: r.step)
+    psi = psi_numpy(row, 15)
+    assert np.allclose([r.psi for r in bands], psi, atol=1e-9)
+    widths = 1.959963984540054 * np.sqrt(row["sigma2"] * np.cumsum(psi**2))
+    assert np.allclose([r.half_width for r in bands], widths, rtol=1e-9)
+
+
+def test_psi_without_coefficients_is_a_seasonal_random_walk(spark):
+    zero = spark.createDataFrame([("Z", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 4.0), ("N", None, None, None, None, None, None, None)],
+                                 "service string, phi double, seasonal_phi double, phi_13 double, theta double, "
+                                 "seasonal_theta double, theta_13 double, sigma2 double")
+    got = {(r.service, r.step): r for r in sarima.psi_bands(zero).collect()}
+    assert all(got[("Z", k)].psi == 1.0 for k in range(1, 13))
+    assert np.isclose(got[("Z", 12)].half_width, 1.959963984540054 * 2 * np.sqrt(12))
+    assert got[("N", 1)].psi == 1.0 and got[("N", 1)].half_width is None
+    assert all(got[("N", k)].psi is None for k in range(2, 13))
