@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.operators import quality, sarima
+from caseload.operators import quality, sarima, unit_root
 from caseload.operators.prepare import split_by_history
 from caseload.operators.validation import backtest, backtest_splits
 from caseload.plans.reports import summary
@@ -271,6 +271,54 @@ def _bands_sql(level: float = 0.95, horizon: int = sarima.HORIZON, season: int =
     )
 
 
+def lagged_unit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DCL-12 with lags: augmented Dickey-Fuller, 0 to 2 lags chosen by AIC."""
+    return rounded(unit_root.augmented(supplier_series(spark, sf_dir)))
+
+
+def _solution_sql(xs: list[str], rhs: list[str]) -> str:
+    """The solution vector of the Gram block of ``xs`` with right side ``rhs``, as in ``sarima.solve``."""
+
+    def g(a: str, b: str) -> str:
+        return f"g_{a}_{b}" if xs.index(a) <= xs.index(b) else f"g_{b}_{a}"
+
+    k = len(xs)
+    flat = "[" + ", ".join(cell for a, r in zip(xs, rhs, strict=True) for cell in (*[g(a, b) for b in xs], r)) + "]"
+    return f"list_transform(range(0, {k}), lambda i: ({_solve_sql(flat, k)})[i * {k + 1} + {k} + 1])"
+
+
+def _adf_sql(max_lags: int = unit_root.MAX_LAGS) -> str:
+    lags = [f"d{i}" for i in range(1, max_lags + 1)]
+    xs = ["one", "y1", *lags]
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in ["d", "y1", *lags])
+    sums, _, _ = _gram_sql(xs, "d", ok)
+    fits, columns = [], []
+    for p in range(max_lags + 1):
+        k = p + 2
+        part = xs[:k]
+        columns.append(f"{_solution_sql(part, [f'g_{a}_d' for a in part])} AS beta{p}")
+        columns.append(f"{_solution_sql(part, ['1.0' if i == 1 else '0.0' for i in range(k)])} AS inv{p}")
+        columns.append("[" + ", ".join(f"g_{a}_d" for a in part) + f"] AS b{p}")
+        rss = f"(g_d_d - list_reduce(list_transform(range(0, {k}), lambda i: beta{p}[i + 1] * b{p}[i + 1]), lambda acc, x: acc + x, 0.0))"
+        aic = f"CASE WHEN {rss} > 0 THEN nd * ln({rss} / nd) + {2.0 * k} END"
+        t = f"beta{p}[2] / sqrt(({rss} / nullif(nd - {k}, 0)) * inv{p}[2])"
+        fits.append(f"{{'aic': {aic}, 'lags': {p}, 't': {t}}}")
+    b0, b1, b2, b3 = unit_root.CRITICAL_5
+    crit = f"{b0} + {b1} / nullif(nd, 0) + {b2} / nullif(nd * nd, 0) + {b3} / nullif(nd * nd * nd, 0)"
+    chosen = f"CASE WHEN n >= {unit_root.MIN_ROWS} THEN list_sort(list_filter([{', '.join(fits)}], lambda s: s.aic IS NOT NULL))[1] END"
+    body = f"""SELECT service, n, best.lags AS lags, best.aic AS aic, best.t AS t, {crit} AS critical,
+  coalesce(best.t < {crit}, FALSE) AS stationary FROM (
+  SELECT service, n, nd, {chosen} AS best FROM (
+    SELECT *, CAST(n AS DOUBLE) AS nd, {", ".join(columns)} FROM (
+      SELECT service, {", ".join(sums)} FROM (
+        SELECT service, m, d, y1, 1.0 AS one, {", ".join(f"{_lag_sql('d', i)} AS d{i}" for i in range(1, max_lags + 1))} FROM (
+          SELECT service, m, y - {_lag_sql("y", 1)} AS d, {_lag_sql("y", 1)} AS y1 FROM (
+            SELECT service, year(ds) * 12 + month(ds) AS m, sum(y) AS y FROM sup
+            WHERE y IS NOT NULL AND ds IS NOT NULL GROUP BY 1, 2)))
+      GROUP BY service)))"""
+    return sql(body, "sup", doubles="aic, t, critical")
+
+
 def short_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DCL-15: two places, metric columns switched off."""
     return quality.round_report(rounded(summary(closed_tables(spark, sf_dir))), 2, metrics=False)
@@ -327,6 +375,7 @@ QUERIES = {
     "dcl_validation_splits": (splits, SPLITS_SQL),
     "dcl_backtest": (out_of_sample, None),
     "dcl_stationarity": (unit_roots, STATIONARITY_SQL),
+    "dcl_stationarity_lags": (lagged_unit_roots, _adf_sql()),
     "dcl_outliers_null_label": (
         null_outliers,
         f"""WITH s AS ({_NULL_LABELS}), m AS (
