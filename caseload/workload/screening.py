@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.operators import quality, sarima, unit_root
+from caseload.operators import conformal, quality, sarima, unit_root
 from caseload.operators.prepare import split_by_history
 from caseload.operators.validation import backtest, backtest_splits
 from caseload.plans.reports import summary
+from caseload.session import materialise
 from caseload.workload.tables import (
     NUDGE,
     closed_tables,
@@ -85,17 +86,15 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest_splits(mixed_series(spark, sf_dir))
 
 
-SPLITS_SQL = sql(
-    """SELECT service, CAST(fold AS INTEGER) AS fold, ds, y,
+_SPLITS_BODY = """SELECT service, CAST(fold AS INTEGER) AS fold, ds, y,
   CASE WHEN pos <= trained THEN 'train' ELSE 'test' END AS role FROM (
   SELECT *, n - (4 - fold) * tested AS trained FROM (
     SELECT *, greatest(1, floor(n * 0.2)) AS tested FROM (
       SELECT *, row_number() OVER (PARTITION BY service ORDER BY ds) AS pos,
         count(*) OVER (PARTITION BY service) AS n FROM mixed)
     CROSS JOIN range(1, 4) AS folds(fold)))
-WHERE trained >= 6 AND pos <= trained + tested""",
-    "mixed",
-)
+WHERE trained >= 6 AND pos <= trained + tested"""
+SPLITS_SQL = sql(_SPLITS_BODY, "mixed")
 
 
 def out_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +318,33 @@ def _adf_sql(max_lags: int = unit_root.MAX_LAGS) -> str:
     return sql(body, "sup", doubles="aic, t, critical")
 
 
+def conformal_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DCL-14 from out-of-sample errors: split-conformal widths of random-walk forecasts
+    by months ahead, over the backtest folds of all series, with their coverage."""
+    points = materialise(conformal.random_walk_points(backtest_splits(mixed_series(spark, sf_dir))), "points")
+    return rounded(conformal.coverage(points, conformal.quantiles(points)))
+
+
+CONFORMAL_SQL = sql(
+    f"""WITH splits AS ({_SPLITS_BODY}),
+last AS (SELECT service, fold, max_by(y, ds) AS yhat FROM splits WHERE role = 'train' GROUP BY 1, 2),
+points AS (SELECT 'RandomWalk' AS model, t.service, t.fold, t.ds,
+  row_number() OVER (PARTITION BY t.service, t.fold ORDER BY t.ds) AS step, t.y, l.yhat
+  FROM splits t JOIN last l ON t.service = l.service AND t.fold = l.fold WHERE t.role = 'test'),
+scores AS (SELECT model, step, abs(y - yhat) AS r FROM points WHERE y IS NOT NULL AND yhat IS NOT NULL),
+ranked AS (SELECT model, step, r, row_number() OVER (PARTITION BY model, step ORDER BY r) AS rn,
+  count(*) OVER (PARTITION BY model, step) AS n FROM scores),
+widths AS (SELECT model, step, max(n) AS n,
+  max(CASE WHEN rn = CAST(ceil((n + 1) * {conformal.LEVEL}) AS BIGINT) THEN r END) AS quantile FROM ranked GROUP BY 1, 2)
+SELECT w.model, w.step, w.n, w.quantile, c.coverage FROM widths w LEFT JOIN (
+  SELECT s.model, s.step, avg(CASE WHEN v.quantile IS NOT NULL THEN CAST(s.r <= v.quantile AS DOUBLE) END) AS coverage
+  FROM scores s JOIN widths v ON s.model = v.model AND s.step = v.step GROUP BY 1, 2) c
+  ON w.model = c.model AND w.step = c.step""",
+    "mixed",
+    doubles="quantile, coverage",
+)
+
+
 def short_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DCL-15: two places, metric columns switched off."""
     return quality.round_report(rounded(summary(closed_tables(spark, sf_dir))), 2, metrics=False)
@@ -376,6 +402,7 @@ QUERIES = {
     "dcl_backtest": (out_of_sample, None),
     "dcl_stationarity": (unit_roots, STATIONARITY_SQL),
     "dcl_stationarity_lags": (lagged_unit_roots, _adf_sql()),
+    "dcl_conformal": (conformal_widths, CONFORMAL_SQL),
     "dcl_outliers_null_label": (
         null_outliers,
         f"""WITH s AS ({_NULL_LABELS}), m AS (
