@@ -254,6 +254,15 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(load_results(spark, path, 2001).selection)
 
 
+def result_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2, SRC-5: rows of all four published tables of one run."""
+    path = save_results(closed_tables(spark, sf_dir), shared_folder(spark, "results"), 2001)
+    loaded = load_results(spark, path, 2001)
+    return union_years(
+        *[df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in loaded._asdict().items()]
+    )
+
+
 def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-3: every non-empty report in its folder; rows per report."""
     kept = save_results(closed_tables(spark, sf_dir), shared_folder(spark, "results"), 2001)
@@ -480,6 +489,16 @@ QUERIES = {
         stored_results, sql("SELECT * FROM selection", "selection", doubles="score"),
     ),
     "snk_reports": (stored_reports, STORED_REPORTS_SQL),
+    "snk_results_snapshot": (
+        result_snapshot,
+        sql(
+            """SELECT 'history' AS "table", count(*) AS "rows" FROM mixed UNION ALL
+               SELECT 'forecasts', count(*) FROM forecasts UNION ALL
+               SELECT 'metrics', count(*) FROM metrics UNION ALL
+               SELECT 'selection', count(*) FROM selection""",
+            "mixed", "forecasts", "metrics", "selection",
+        ),
+    ),
     "prj_month_names": (month_names, MONTH_NAMES_SQL),
     "prj_label_column": (label_positions, LABEL_POSITIONS_SQL),
     "prj_numeric": (numbers, NUMBERS_SQL),

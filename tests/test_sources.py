@@ -225,7 +225,30 @@ def test_whole_run(spark, folder, tmp_path):
         assert spark.read.parquet(f"{out}/reports_2025/{name}").count() > 0
     before = caseload.run_full_analysis(spark, str(tmp_path / "matrice_*.csv"), out)
     assert before.selection.count() == 3
-    assert {r[0] for r in spark.read.parquet(f"{out}/results/selection").select("run_year").distinct().collect()} == {2023, 2025}
+    kept = caseload.load_results(spark, f"{out}/results").selection
+    assert {r[0] for r in kept.select("run_year").distinct().collect()} == {2023, 2025}
+
+
+def test_a_stopped_run_leaves_the_last_one_in_view(spark, tmp_path):
+    from caseload.operators.forecast import ForecastTables
+    from caseload.sources.results import load_results, published, save_results
+
+    def tables(value: float, broken: bool = False):
+        one = spark.createDataFrame([("S", value)], "service string, y double")
+        bad = one.withColumn("y", F.when(F.lit(True), F.raise_error(F.lit("stopped"))).cast("double")) if broken else one
+        return ForecastTables(one, one, bad, one)
+
+    path = str(tmp_path / "results")
+    save_results(tables(1.0), path, 2024)
+    with pytest.raises(Exception, match="stopped"):
+        save_results(tables(2.0, broken=True), path, 2024)  # history and forecasts written, then it stops
+    seen = load_results(spark, path, 2024)
+    assert [r.y for r in seen.history.collect()] == [1.0] and [r.y for r in seen.selection.collect()] == [1.0]
+    save_results(tables(3.0), path, 2024)
+    save_results(tables(9.0), path, 2023)
+    assert [r.y for r in load_results(spark, path, 2024).metrics.collect()] == [3.0]
+    assert sorted(published(spark, path)) == [2023, 2024]
+    assert sorted(r.y for r in load_results(spark, path).forecasts.collect()) == [3.0, 9.0]
 
 
 def test_unreadable_results_are_none(spark, tmp_path):
