@@ -27,6 +27,7 @@ Kept columns named like the added ones are replaced by them.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Sequence
 from operator import itemgetter
 
@@ -153,6 +154,7 @@ def _encoder(a_path: str, b_path: str, with_groups: bool):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         first = Tokenizer.from_file(a_path)
         first.encode_special_tokens = True
         second = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -161,12 +163,12 @@ def _encoder(a_path: str, b_path: str, with_groups: bool):
         def run(data: np.ndarray, offsets: np.ndarray):
             raw = data.tobytes()
             texts = [raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in range(len(offsets) - 1)]
-            # one text at a time: the batch call's threads add CPU time, not speed, in a task
+            # sequential batches: in a task, threads add CPU time, not speed
+            ids_a = first.encode_batch([" " + t if t else "" for t in texts], add_special_tokens=False)
             ids_b = second.encode(texts, out_type=int, num_threads=1)
             counts, groups, digests, keys, links = [], [], [], [], []
-            for text, ib in zip(texts, ids_b, strict=True):
-                a = np.array(first.encode(" " + text, add_special_tokens=False).ids, np.int64) if text else np.zeros(0, np.int64)
-                n, g, k, m = one(text, a, np.array(ib, np.int64))
+            for i, (ea, ib) in enumerate(zip(ids_a, ids_b, strict=True)):
+                n, g, k, m = one(data[offsets[i] : offsets[i + 1]], np.array(ea.ids, np.int64), np.array(ib, np.int64))
                 counts.append(n)
                 groups.append(g if with_groups else None)
                 digests.append(hashlib.sha256(g.encode()).hexdigest() if n[0] else "")
@@ -181,9 +183,13 @@ def _encoder(a_path: str, b_path: str, with_groups: bool):
                 pa.ListArray.from_arrays(at, pa.array(flat_keys)), pa.ListArray.from_arrays(at, pa.array(flat_links)),
             )
 
-        def one(text: str, a: np.ndarray, b: np.ndarray):
-            whole = np.frombuffer((" " + text).encode(), np.uint8)
-            if not text or not np.array_equal(table_a.join(a), whole) or not np.array_equal(table_b.join(b), whole):
+        def one(text: np.ndarray, a: np.ndarray, b: np.ndarray):
+            """``text``: the UTF-8 bytes of one text, without the leading space."""
+            size = len(text) + 1
+            if not len(text) or int(table_a.lengths[a].sum()) != size or int(table_b.lengths[b].sum()) != size:
+                return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+            joined_a, joined_b = table_a.join(a), table_b.join(b)
+            if joined_a[0] != 0x20 or joined_b[0] != 0x20 or not np.array_equal(joined_a[1:], text) or not np.array_equal(joined_b[1:], text):
                 return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
             ends_a, ends_b = np.cumsum(table_a.lengths[a]), np.cumsum(table_b.lengths[b])
             a_cut, b_cut, la, lb = align(ends_a, ends_b)
@@ -221,7 +227,8 @@ def link_counts(
     best = counts.groupBy(F.floor(F.col("key") / B_IDS).alias("a")).agg(F.max("docs").alias("top"))
     counts = counts.join(best, F.floor(F.col("key") / B_IDS) == F.col("a")).select("key", "docs", (F.col("docs") == F.col("top")).alias("best"))
     counts = materialise(counts, "alignment-counts")
-    sums = pairs.join(counts, "key").groupBy("_row").agg(
+    # always a shuffle join: the pair table grows with the corpus, so no size switch
+    sums = pairs.join(counts.hint("shuffle_merge"), "key").groupBy("_row").agg(
         F.sum(F.col("links") * F.col("docs")).alias("count_sum"),
         F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"),
     )
