@@ -144,8 +144,20 @@ def _make_features():
 
 
 def _sample(df: DataFrame, text: str, order: Column, bound: int):
-    """CSR features of the ``bound`` rows of smallest ``order``: a bounded top-k, not a sort."""
-    chosen = df.select(order.alias("_order"), F.col(text)).orderBy("_order").limit(bound)
+    """CSR features of the ``bound`` rows of smallest ``order``, read without moving texts.
+
+    Only the order values go through the top-k (at most ``bound`` of them reach the
+    driver); the texts are then read by a filter below the k-th value. Rows tied at that
+    value are equal rows (``order`` hashes the id with the text), so which of them fill
+    the last places does not change the sample.
+    """
+    keyed = df.select(order.alias("_order"), F.col(text))
+    smallest = [row[0] for row in keyed.select("_order").orderBy("_order").limit(bound).collect()]
+    if not smallest:
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    last = smallest[-1]
+    below = sum(1 for value in smallest if value < last)
+    chosen = keyed.where(F.col("_order") < last).unionByName(keyed.where(F.col("_order") == last).limit(bound - below))
     table = map_texts(chosen, text, [], FEATURES, _make_features).toArrow()
     slots, values = table.column("_slots").combine_chunks(), table.column("_values").combine_chunks()
     lengths = slots.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(slots) else np.zeros(0, np.int64)
@@ -159,14 +171,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on confirmed toxic ``docs`` (by ``labels``) against all ``docs`` as unlabelled.
 
     ``docs`` and ``labels`` are the training rows already; the prior comes from
-    ``labels``' non-null values.
+    ``labels``' non-null values. The positives are the ``TRAIN_POSITIVES`` toxic ids of
+    smallest hash (a bounded list), and their rows are found by a filter, not a join.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
     prior = float(np.clip(share if share is not None else 0.0, 0.001, 0.999))
     toxic = known.where(F.col(label) == 1).select(doc_id).distinct()
-    order = F.xxhash64(F.lit("toxicity"), F.col(doc_id))
-    positives = _sample(docs.join(toxic, doc_id), text, order, TRAIN_POSITIVES)
+    picked = toxic.orderBy(F.xxhash64(F.lit("toxicity"), F.col(doc_id))).limit(TRAIN_POSITIVES).collect()
+    order = F.xxhash64(F.lit("toxicity"), F.col(doc_id), F.col(text))
+    ids = [row[0] for row in picked]
+    positives = _sample(docs.where(F.col(doc_id).isin(ids)), text, order, TRAIN_POSITIVES) if ids else (np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
     unlabelled = _sample(docs, text, order, TRAIN_UNLABELLED)
     return fit(positives, unlabelled, prior)
 
