@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload.functions.dates import horizon_months, month_ends_after
 from caseload.functions.rules import MIN_HISTORY_ROWS, SHORT_HISTORY_ERROR
@@ -72,36 +73,78 @@ def series_arrays(
     )
 
 
-def _fit_batches(models: Mapping[str, Callable], min_rows: int, too_short: str):
-    """MOD-5, MOD-7: run all models on each series; a failure becomes an error text."""
-    fit_one = fits.fit_one
+# Dates of the series fitted together in one call; a longer series comes alone.
+BATCH_DATES = 100_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [field.split()[0] for field in FIT_SCHEMA.split(", ")]
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                base = (row.days, row.n, row.y)
-                if row.n.sum() < min_rows:
-                    out.append((row.service, None, None, too_short, *base, None, row.future, None))
+
+def _fit_batches(models: Mapping[str, Callable], min_rows: int, too_short: str, schema: T.StructType):
+    """MOD-5, MOD-7: run all models on each series; a failure becomes an error text.
+
+    Series of equal length and horizon are fitted together, as rows of one matrix.
+    """
+    fit_many = fits.fit_many
+    most, names = BATCH_DATES, [field.name for field in schema.fields]
+    doubles = pa.list_(pa.float64())
+
+    def matrix(column, rows, size, kind):
+        """Lists of ``size`` values each as rows of a matrix; null is not a number."""
+        flat = column.take(pa.array(rows)).flatten()
+        return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(rows), size)
+
+    def lengths(column):
+        return column.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+
+    def fit_table(batch: pa.RecordBatch) -> pa.RecordBatch:
+        days, n, y, yy, future = (batch.column(name) for name in ("days", "n", "y", "yy", "future"))
+        size, ahead = lengths(days), lengths(future)
+        wanted = batch.column("wanted").to_pylist()
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, key in enumerate(zip(size.tolist(), ahead.tolist(), strict=True)):
+            groups.setdefault(key, []).append(i)
+        out = []
+        for (dates, horizon), rows in groups.items():
+            enough = matrix(n, rows, dates, "f8").sum(1) >= min_rows
+            out += [(rows[i], -1, None, None, too_short, None, None) for i in np.flatnonzero(~enough).tolist()]
+            rows = [rows[i] for i in np.flatnonzero(enough).tolist()]
+            for place, (name, fit) in enumerate(models.items()):
+                mine = [i for i in rows if wanted[i] is None or name in wanted[i]]
+                if not mine:
                     continue
-                for name, fit in models.items():
-                    if row.wanted is not None and name not in row.wanted:
-                        continue
-                    try:
-                        fitted, ahead, variant = fit_one(
-                            fit,
-                            np.array(row.days, "i8"),
-                            np.array(row.y, "f8"),
-                            np.array(row.n, "f8"),
-                            np.array(row.yy, "f8"),
-                            np.array(row.future, "i8"),
-                        )
-                        result = (variant, None, *base, fitted, row.future, ahead)
-                    except Exception as problem:  # one model never stops the others
-                        result = (None, str(problem) or repr(problem), *base, None, row.future, None)
-                    out.append((row.service, name, *result))
-            yield pd.DataFrame(out, columns=columns)
+                found = fit_many(
+                    fit,
+                    matrix(days, mine, dates, "i8"),
+                    matrix(y, mine, dates, "f8"),
+                    matrix(n, mine, dates, "f8"),
+                    matrix(yy, mine, dates, "f8"),
+                    matrix(future, mine, horizon, "i8"),
+                )
+                for i, result in zip(mine, found, strict=True):
+                    if isinstance(result, Exception):  # one model never stops the others
+                        out.append((i, place, name, None, str(result) or repr(result), None, None))
+                    else:
+                        out.append((i, place, name, result.variant, None, result.fitted, result.future))
+        out.sort(key=lambda row: row[:2])
+        rows, _, model, variant, error, fitted, values = zip(*out, strict=True) if out else [()] * 7
+        of = pa.array(rows, pa.int64())
+        text = pa.string()
+        return pa.RecordBatch.from_arrays([
+            batch.column("service").take(of), pa.array(model, text), pa.array(variant, text), pa.array(error, text),
+            days.take(of), n.take(of), y.take(of), pa.array(fitted, doubles), future.take(of), pa.array(values, doubles),
+        ], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Freed at once: from here on the allocator keeps arrays up to this size in its heap
+        # instead of fetching fresh pages for each.
+        np.empty(30 << 20, np.uint8)
+        held, dates = [], 0
+        for batch in batches:
+            held.append(batch)
+            dates += len(batch.column("days").flatten())
+            if dates >= most:
+                yield fit_table(pa.concat_batches(held))
+                held, dates = [], 0
+        if held:
+            yield fit_table(pa.concat_batches(held))
 
     return run
 
@@ -121,7 +164,8 @@ def fit_series(
     """
     wanted = F.col("wanted") if "wanted" in series.columns else F.lit(None).cast("array<string>").alias("wanted")
     inputs = series.select("service", "days", "n", "y", "yy", "future", wanted)
-    return inputs.mapInPandas(_fit_batches(models, min_rows, too_short), FIT_SCHEMA)
+    schema = T.StructType.fromDDL(FIT_SCHEMA)
+    return inputs.mapInArrow(_fit_batches(models, min_rows, too_short, schema), schema)
 
 
 def forecast_rows(fitted: DataFrame) -> DataFrame:

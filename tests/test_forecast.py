@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from fractions import Fraction
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pytest
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import caseload
 from caseload.functions.rules import NO_MODEL_ERROR, SHORT_HISTORY_ERROR
 from caseload.operators import fits, kpi, lookup, quality, selection, series
+from caseload.operators import forecast as forecast_module
 from caseload.operators.forecast import forecast, random_walk
 from caseload.operators.metrics import evaluate, with_score
 from caseload.operators.prepare import split_by_history
@@ -162,6 +163,43 @@ def test_duplicate_rows_weigh_like_rows():
     assert np.abs(weighted.fitted - y).mean() < np.abs(y - y.mean()).mean() / 2
 
 
+def test_series_fitted_together_are_fitted_as_alone():
+    """One pass over many series gives each the fit it gets by itself, failures included."""
+    rng = np.random.default_rng(11)
+    y = rng.normal(100, 20, (40, 30)).round(1)
+    y[3], y[4, 2], y[5, ::2] = 7.0, np.nan, 0.0
+    first = days(30 + 12)
+    at = np.array([first + 31 * (i % 5) for i in range(40)])
+    for fit in (*fits.REGISTRY.values(), partial(fits.trend_seasonality, multiplicative=True)):
+        together = fits.fit_many(fit, at[:, :30], y, np.ones(y.shape), y**2, at[:, 30:])
+        for i, got in enumerate(together):
+            if i == 4:
+                assert str(got) == "the values are not finite"
+                continue
+            alone = fits.fit_one(fit, at[i, :30], y[i], np.ones(30), y[i] ** 2, at[i, 30:])
+            assert (got.fitted == alone.fitted).all() and (got.future == alone.future).all()
+            assert got.variant == alone.variant
+
+
+def test_one_call_fits_all_series_of_a_length(spark, complete):
+    """The cost of a call is shared: series of equal length come in one."""
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(days, y, n, yy, future):
+        raise AssertionError("series by series")
+
+    def many(days, y, n, yy, future):
+        sizes.add(1)
+        return [fits.Fit(row, np.zeros(future.shape[1]), "kept") for row in y]
+
+    counted.many = many
+    copies = complete.crossJoin(spark.range(50)).select(F.concat("service", F.col("id").cast("string")).alias("service"), "ds", "y")
+    series = forecast_module.series_arrays(copies, 1).withColumn("future", F.col("days"))
+    fitted = forecast_module.fit_series(series, {"own": counted}).collect()
+    assert len(fitted) == 50 and all(r["error"] is None and r["fitted"] == r["y"] for r in fitted)
+    assert sizes.value == 1
+
+
 # --- the distributed pass ---------------------------------------------------
 
 
