@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -208,7 +209,7 @@ class TextCoder:
             if len(memory) > CACHE_KEYS:
                 memory.clear()
         missing = list({c for chunks in cut for c in chunks}.difference(known))
-        extra = {}
+        long = [chunk for chunk in missing if len(chunk) > CACHE_KEY]
         if missing:
             split = [[p.encode() for p in self.pattern.findall(chunk)] for chunk in missing]
             distinct = list({p for pieces in split for p in pieces}.difference(seen))
@@ -217,19 +218,22 @@ class TextCoder:
             new = {p: (",".join(map(str, i)).encode(), len(i), r) for p, i, r in zip(distinct, ids, raw, strict=True)}
             for chunk, pieces in zip(missing, split, strict=True):
                 parts = [seen.get(p) or new[p] for p in pieces]
-                value = parts[0] if len(parts) == 1 else _joined(parts)
-                (known if len(chunk) <= CACHE_KEY else extra)[chunk] = value
+                known[chunk] = parts[0] if len(parts) == 1 else _joined(parts)
             seen.update((p, v) for p, v in new.items() if len(p) <= CACHE_KEY)
         out = []
         for chunks in cut:
-            ids, n, raw = _joined([known.get(c) or extra[c] for c in chunks])
+            ids, n, raw = _joined([*map(known.__getitem__, chunks)])
             out.append((n, ids, raw))
+        for chunk in long:
+            del known[chunk]
         return out
 
 
+IDS, SIZE, RAW = itemgetter(0), itemgetter(1), itemgetter(2)
+
+
 def _joined(parts):
-    ids, sizes, raw = zip(*parts, strict=True) if parts else ((), (), ())
-    return b",".join(ids), sum(sizes), b"".join(raw)
+    return b",".join(map(IDS, parts)), sum(map(SIZE, parts)), b"".join(map(RAW, parts))
 
 
 _CODERS: dict[tuple[str, str], TextCoder] = {}

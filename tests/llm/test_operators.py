@@ -235,6 +235,24 @@ def test_byte_bpe(spark, sf_dir, docs):
         assert coder.encode([t])[0][1] == ",".join(map(str, encoding.encode_ordinary(t))).encode()
 
 
+def test_byte_bpe_joins_what_it_remembers_at_once():
+    """Chunks are looked up once each, without a row of pieces per text; long ones are forgotten."""
+    coder = bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.pieces.ranks, special_tokens={})
+
+    class Counted(dict):
+        def get(self, *key):
+            raise AssertionError("looked up twice")
+
+    coder.known = Counted()
+    texts = ["one two two", "y" * 500 + " two", "", "y" * 500]
+    for _ in range(2):
+        for text, (n, ids, raw) in zip(texts, coder.encode(texts), strict=True):
+            want = encoding.encode_ordinary(text)
+            assert (n, ids, raw) == (len(want), ",".join(map(str, want)).encode(), text.encode())
+    assert set(coder.known) == {"one", " two"}
+
+
 def test_top_k(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.floor(64 * np.array([r["embedding"] for r in rows], float)).astype(int)
