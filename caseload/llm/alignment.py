@@ -29,13 +29,14 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Sequence
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseload.llm.bpe import CACHE_KEY, CACHE_KEYS, CUT, TextCoder
 from caseload.llm.common import map_texts
 from caseload.session import materialise
 
@@ -112,32 +113,41 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray):
     merged ends of the whole text are those of every slice, and each stretch between
     two of them lies in one A and one B token of the same slice.
     """
-    to_a = dict(zip(ends_a.tolist(), range(len(ends_a)), strict=True))
-    to_b = dict(zip(ends_b.tolist(), range(len(ends_b)), strict=True))
+    to_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1), strict=True))
+    to_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1), strict=True))
     common = sorted(to_a.keys() & to_b.keys())
     if not common:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a_cut = np.array(itemgetter(*common)(to_a), np.int64).reshape(-1) + 1
-    b_cut = np.array(itemgetter(*common)(to_b), np.int64).reshape(-1) + 1
-    merged = np.union1d(ends_a, ends_b)
-    return a_cut, b_cut, np.searchsorted(ends_a, merged, "left"), np.searchsorted(ends_b, merged, "left")
+    a_cut = np.fromiter(map(to_a.__getitem__, common), np.int64, len(common))
+    b_cut = np.fromiter(map(to_b.__getitem__, common), np.int64, len(common))
+    # Stretches end at every end of A and, in between, at the ends of B alone; those before
+    # a stretch's end give its token on each side.
+    size = max(int(ends_a[-1]), int(ends_b[-1])) + 1
+    is_a, is_b = np.zeros(size, bool), np.zeros(size, bool)
+    is_a[ends_a], is_b[ends_b] = True, True
+    merged = np.flatnonzero(is_a | is_b)
+    at_a, at_b = is_a[merged], is_b[merged]
+    return a_cut, b_cut, np.cumsum(at_a) - at_a, np.cumsum(at_b) - at_b
+
+
+# Decimal ids followed by the mark of their place: 0 the next id, 1 the other side, 2 a new slice.
+MARKED = np.array([f"{i}{mark}" for mark in ",|;" for i in range(B_IDS)], object)
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> str:
     """``a1,a2|b1;a3|b2,b3``: each slice's A ids, then its B ids."""
-    group = np.concatenate([np.searchsorted(a_cut, np.arange(len(a)), "right"), np.searchsorted(b_cut, np.arange(len(b)), "right")])
-    side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
-    order = np.lexsort((np.arange(len(group)), side, group))
-    if len(order) == 0:
+    if not len(a_cut):
         return ""
-    group, side = group[order], side[order]
-    if len(np.unique(group * 2 + side)) != 2 * (group[-1] + 1):  # a slice without ids of one side
+    in_a, in_b = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+    if not (in_a.all() and in_b.all()) or max(a.max(), b.max()) >= B_IDS:
         return _groups_by_slice(a, b, a_cut, b_cut)
-    marks = np.array([",", "|", ";"])[np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(np.int64))]
-    out = [""] * (2 * len(order) - 1)
-    out[0::2] = map(str, np.concatenate([a, b])[order].tolist())
-    out[1::2] = marks.tolist()
-    return "".join(out)
+    ids = np.empty(len(a) + len(b), np.int64)
+    # An id stands behind its slice's earlier ones and all ids of the slices before.
+    ids[np.arange(len(a)) + np.repeat(b_cut - in_b, in_a)] = a
+    ids[np.arange(len(b)) + np.repeat(a_cut, in_b)] = b
+    ids[a_cut + b_cut - in_b - 1] += B_IDS
+    ids[a_cut + b_cut - 1] += 2 * B_IDS
+    return "".join(MARKED[ids].tolist())[:-1]
 
 
 def _groups_by_slice(a, b, a_cut, b_cut) -> str:
@@ -148,6 +158,26 @@ def _groups_by_slice(a, b, a_cut, b_cut) -> str:
     return ";".join(out)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(first, append=len(ordered))
+
+
+def spaced_chunks(text: str) -> list[str]:
+    """Space + text cut before single spaces between other characters; none of an empty text.
+
+    The pre-tokenizer starts a new piece at each such space, whatever stands around it.
+    """
+    if not text:
+        return []
+    if text[0].isspace():
+        return CUT.split(" " + text)
+    chunks = TextCoder.chunks(text)
+    return [" " + chunks[0], *chunks[1:]]
+
+
 def _encoder(a_path: str, b_path: str, with_groups: bool):
     def make():
         import pyarrow as pa
@@ -160,15 +190,32 @@ def _encoder(a_path: str, b_path: str, with_groups: bool):
         second = sentencepiece.SentencePieceProcessor(model_file=b_path)
         table_a, table_b = a_table(first), b_table(second)
 
+        known: dict[str, list[int]] = {}  # ids of chunks
+
+        def encode_a(texts: Sequence[str]) -> list[np.ndarray]:
+            """Ids of space + text. Its pieces do not reach over a cut, so that each chunk is
+            encoded once; a long one is forgotten after its batch."""
+            cut = [spaced_chunks(text) for text in texts]
+            if len(known) > CACHE_KEYS:
+                known.clear()
+            missing = list({c for chunks in cut for c in chunks}.difference(known))
+            found = first.encode_batch_fast(missing, add_special_tokens=False)
+            known.update((chunk, e.ids) for chunk, e in zip(missing, found, strict=True))
+            out = [np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.int64) for chunks in cut]
+            for chunk in missing:
+                if len(chunk) > CACHE_KEY:
+                    del known[chunk]
+            return out
+
         def run(data: np.ndarray, offsets: np.ndarray):
             raw = data.tobytes()
             texts = [raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in range(len(offsets) - 1)]
-            # sequential batches: in a task, threads add CPU time, not speed
-            ids_a = first.encode_batch([" " + t if t else "" for t in texts], add_special_tokens=False)
+            # sequential batches: in a task, threads add CPU time, not speed; no offsets are needed
+            ids_a = encode_a(texts)
             ids_b = second.encode(texts, out_type=int, num_threads=1)
             counts, groups, digests, keys, links = [], [], [], [], []
-            for i, (ea, ib) in enumerate(zip(ids_a, ids_b, strict=True)):
-                n, g, k, m = one(data[offsets[i] : offsets[i + 1]], np.array(ea.ids, np.int64), np.array(ib, np.int64))
+            for i, (ia, ib) in enumerate(zip(ids_a, ids_b, strict=True)):
+                n, g, k, m = one(data[offsets[i] : offsets[i + 1]], ia, np.array(ib, np.int64))
                 counts.append(n)
                 groups.append(g if with_groups else None)
                 digests.append(hashlib.sha256(g.encode()).hexdigest() if n[0] else "")
@@ -193,7 +240,7 @@ def _encoder(a_path: str, b_path: str, with_groups: bool):
                 return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
             ends_a, ends_b = np.cumsum(table_a.lengths[a]), np.cumsum(table_b.lengths[b])
             a_cut, b_cut, la, lb = align(ends_a, ends_b)
-            keys, links = np.unique(a[la] * B_IDS + b[lb], return_counts=True)
+            keys, links = _distinct(a[la] * B_IDS + b[lb])
             return (len(a), len(b), len(a_cut), len(la)), groups_text(a, b, a_cut, b_cut), keys, links.astype(np.int64)
 
         return run

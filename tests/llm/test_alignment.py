@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -92,6 +93,53 @@ def test_against_two_pointers(spark):
     assert got[0].n_a == 0 and got[2].n_links > 0 and got[6].count_sum == got[7].count_sum
 
 
+def test_ids_alone_are_asked_for(monkeypatch):
+    """The tokenizer builds no offsets, which nothing here reads; results as by two pointers."""
+    asked = []
+
+    class Own:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(self.real, name)
+
+    real = Tokenizer.from_file(A)
+    real.encode_special_tokens = True
+    monkeypatch.setattr("tokenizers.Tokenizer", type("Files", (), {"from_file": staticmethod(lambda path: Own(real))}))
+    texts = ["Hello  world\n\tthe", "日本語 😀 naïve", "", "x"]
+    raw = [t.encode() for t in texts]
+    run = alignment._encoder(A, B, True)()
+    found = run(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert "encode_batch" not in asked and "encode_batch_fast" in asked
+    for i, (na, nb, ng, nl, groups, links) in enumerate(brute(texts)):
+        assert [found[k][i] for k in range(5)] == [na, nb, ng, nl, groups]
+        keys = [x * alignment.B_IDS + y for x, y in sorted(links)]
+        assert found[6][i].as_py() == keys and found[7][i].as_py() == [links[pair] for pair in sorted(links)]
+
+
+def test_chunks_give_the_ids_of_the_whole_text():
+    first = Tokenizer.from_file(A)
+    first.encode_special_tokens = True
+    rng = np.random.default_rng(4)
+    marks = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u3000", "a", "é", "7", "'s", "!", "日", "<|endoftext|>", "\u0301"]
+    for _ in range(4000):
+        text = "".join(rng.choice(marks, rng.integers(1, 12)))
+        chunks = alignment.spaced_chunks(text)
+        assert "".join(chunks) == " " + text
+        ids = [i for c in chunks for i in first.encode(c, add_special_tokens=False).ids]
+        assert ids == first.encode(" " + text, add_special_tokens=False).ids, repr(text)
+    assert alignment.spaced_chunks("") == []
+
+
+def test_groups_text_of_uneven_slices():
+    a, b = np.array([5, 70000, 9]), np.array([1, 2, 3, 4])
+    assert alignment.groups_text(a, b, np.array([2, 3]), np.array([1, 4])) == "5,70000|1;9|2,3,4"
+    assert alignment.groups_text(a % 65536, b, np.array([2, 3]), np.array([1, 4])) == "5,4464|1;9|2,3,4"
+    assert alignment.groups_text(a[:0], b[:0], a[:0], b[:0]) == ""
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.link_counts(df, A, B, ["doc_id"]).count() == 0
