@@ -253,6 +253,40 @@ def test_byte_bpe_joins_what_it_remembers_at_once():
     assert set(coder.known) == {"one", " two"}
 
 
+def test_byte_bpe_meets_each_key_of_a_batch_once(monkeypatch):
+    """Equal chunks and pieces of a batch are looked up once, whatever white space stands around them;
+    keys met again stay when others are forgotten."""
+    coder = bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.pieces.ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "CACHE_KEYS", 40)
+    asked = []
+    encode = coder.pieces.encode
+    monkeypatch.setattr(coder.pieces, "encode", lambda pieces: asked.append(pieces) or encode(pieces))
+    rng = np.random.default_rng(7)
+    marks = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "​", " ", " ", "　", "a", "é", "7", "'s", "!", "日", "–", "😀", "bcbc"]
+    for _ in range(150):
+        texts = ["".join(rng.choice(marks, rng.integers(0, 12))) for _ in range(20)]
+        for text, (n, ids, raw) in zip(texts, coder.encode(texts), strict=True):
+            want = encoding.encode_ordinary(text)
+            assert (n, ids, raw) == (len(want), ",".join(map(str, want)).encode(), text.encode()), repr(text)
+        assert len(set(asked[-1])) == len(asked[-1])
+    asked.clear()
+    for k in range(6):
+        coder.encode([" often " + " ".join(f"q{k}w{i}" for i in range(30))])
+    assert sum(b" often" in pieces for pieces in asked) == 1
+
+
+def test_byte_bpe_of_texts_that_are_not_utf8(spark):
+    """Bytes that are no UTF-8 are replaced text by text, as they were; neighbours are not touched."""
+    df = spark.sql("SELECT 1 AS doc_id, CAST(X'616220C3' AS STRING) AS text").unionAll(
+        spark.sql("SELECT 2, CAST(X'A9206364' AS STRING)")).unionAll(spark.sql("SELECT 3, 'é x'")).coalesce(1)
+    rows = {r.doc_id: r for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN, ["doc_id"], with_values=True).collect()}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    for i, text in enumerate([b"ab \xc3", b"\xa9 cd", "é x".encode()], 1):
+        text = text.decode("utf-8", "replace")
+        assert bytes(rows[i].decoded).decode() == text and rows[i].ids == ",".join(map(str, encoding.encode_ordinary(text)))
+
+
 def test_top_k(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.floor(64 * np.array([r["embedding"] for r in rows], float)).astype(int)
