@@ -6,12 +6,17 @@ strings inside a text are plain text for both. A token's bytes: A's vocabulary e
 decoded from the byte-to-character table of byte-level BPE; B's piece in UTF-8 with
 U+2581 as a space and ``<0xHH>`` as the byte HH.
 
-Method per text (inside an Arrow task): cumulative byte ends of both token lists go
+Method (inside an Arrow task): cumulative byte ends of both token lists go
 into end-to-index dictionaries; their keys' hash-set intersection, sorted, slices
 both id lists into groups. Links are expanded per slice from the merged ends of both
 sides: every stretch between two consecutive ends lies in one A and one B token, and
 those pairs are exactly the overlapping ones, each once. Slices end where both sides
-end, so all slices are expanded in one vectorised pass over the text.
+end, so all slices are expanded in one vectorised pass.
+
+No token of A or B reaches over a single space between other characters, so both sides
+end before it: a text's groups and links are those of its chunks between such spaces, in
+order. A batch's distinct chunks that are not remembered are aligned in one pass, the
+others looked up. A model of B whose tokens could reach over gets whole texts as chunks.
 
 Across the corpus (Spark): each text's distinct linked id pairs are counted by
 documents with a map-side combined aggregate; the highest count per A id follows
@@ -28,20 +33,24 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Sequence
-from itertools import chain
+from collections.abc import Callable, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sentencepiece import sentencepiece_model_pb2
 
-from caseload.llm.bpe import CACHE_KEY, CACHE_KEYS, CUT, TextCoder
+from caseload.llm.bpe import CACHE_KEY, chunk_starts, in_row, joined
 from caseload.llm.common import map_texts
 from caseload.session import materialise
 
-# Pair keys: A id times this, plus B id (B has fewer ids).
-B_IDS = 1 << 16
+# Pair keys: A id times this, plus B id (B has fewer ids); a key has fewer bits than this.
+B_IDS, KEY_BITS = 1 << 16, 40
+# Chunks held anew by a worker's memory, and given to a tokenizer as one text.
+CACHE_CHUNKS, TOGETHER = 125_000, 16
 
 ADDED = T.StructType([
     T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()),
@@ -131,23 +140,29 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray):
 
 
 # Decimal ids followed by the mark of their place: 0 the next id, 1 the other side, 2 a new slice.
-MARKED = np.array([f"{i}{mark}" for mark in ",|;" for i in range(B_IDS)], object)
+MARKED = pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(B_IDS)], pa.large_binary())
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: each slice's A ids, then its B ids."""
-    if not len(a_cut):
-        return ""
+def marked(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> np.ndarray | None:
+    """The places in ``MARKED`` of each slice's A ids, then its B ids; none if a slice lacks a side or an id is too large."""
     in_a, in_b = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
-    if not (in_a.all() and in_b.all()) or max(a.max(), b.max()) >= B_IDS:
-        return _groups_by_slice(a, b, a_cut, b_cut)
+    if not (in_a.all() and in_b.all()) or max(a.max(initial=0), b.max(initial=0)) >= B_IDS:
+        return None
     ids = np.empty(len(a) + len(b), np.int64)
     # An id stands behind its slice's earlier ones and all ids of the slices before.
     ids[np.arange(len(a)) + np.repeat(b_cut - in_b, in_a)] = a
     ids[np.arange(len(b)) + np.repeat(a_cut, in_b)] = b
     ids[a_cut + b_cut - in_b - 1] += B_IDS
     ids[a_cut + b_cut - 1] += 2 * B_IDS
-    return "".join(MARKED[ids].tolist())[:-1]
+    return ids
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: each slice's A ids, then its B ids."""
+    ids = marked(a, b, a_cut, b_cut)
+    if ids is None:
+        return _groups_by_slice(a, b, a_cut, b_cut)
+    return str(joined(MARKED.take(pa.array(ids)), np.array([0, len(ids)]))[0].as_py(), "ascii")[:-1]
 
 
 def _groups_by_slice(a, b, a_cut, b_cut) -> str:
@@ -165,22 +180,36 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(first, append=len(ordered))
 
 
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space before each that is not empty."""
+    full = offsets[1:] > offsets[:-1]
+    return np.insert(data, offsets[:-1][full], 0x20), offsets + np.append(0, np.cumsum(full))
+
+
 def spaced_chunks(text: str) -> list[str]:
     """Space + text cut before single spaces between other characters; none of an empty text.
 
-    The pre-tokenizer starts a new piece at each such space, whatever stands around it.
+    The pre-tokenizer of A starts a new piece at each such space, whatever stands around it.
     """
-    if not text:
-        return []
-    if text[0].isspace():
-        return CUT.split(" " + text)
-    chunks = TextCoder.chunks(text)
-    return [" " + chunks[0], *chunks[1:]]
+    data = np.frombuffer(text.encode(), np.uint8)
+    data, offsets = spaced(data, np.array([0, len(data)]))
+    return [bytes(part).decode() for part in np.split(data, chunk_starts(data, offsets)[1:])] if len(data) else []
+
+
+def cuts_apart(model_path: str) -> bool:
+    """Whether B's tokens never reach over a space behind another character: no piece does,
+    and texts are not normalised."""
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(model_path, "rb") as file:
+        model.ParseFromString(file.read())
+    plain = model.normalizer_spec
+    if plain.precompiled_charsmap or plain.remove_extra_whitespaces or not plain.escape_whitespaces:
+        return False
+    return not any("▁" in entry.piece.lstrip("▁") for entry in model.pieces)
 
 
 def _encoder(a_path: str, b_path: str, with_groups: bool):
     def make():
-        import pyarrow as pa
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -189,70 +218,128 @@ def _encoder(a_path: str, b_path: str, with_groups: bool):
         first.encode_special_tokens = True
         second = sentencepiece.SentencePieceProcessor(model_file=b_path)
         table_a, table_b = a_table(first), b_table(second)
-
-        known: dict[str, list[int]] = {}  # ids of chunks
-
-        def encode_a(texts: Sequence[str]) -> list[np.ndarray]:
-            """Ids of space + text. Its pieces do not reach over a cut, so that each chunk is
-            encoded once; a long one is forgotten after its batch."""
-            cut = [spaced_chunks(text) for text in texts]
-            if len(known) > CACHE_KEYS:
-                known.clear()
-            missing = list({c for chunks in cut for c in chunks}.difference(known))
-            found = first.encode_batch_fast(missing, add_special_tokens=False)
-            known.update((chunk, e.ids) for chunk, e in zip(missing, found, strict=True))
-            out = [np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.int64) for chunks in cut]
-            for chunk in missing:
+        by_chunk = cuts_apart(b_path)
+        # By chunk: its groups, each closed by a semicolon, its links' keys as bytes, how many
+        # tokens of A (-1 if not all bytes come back) and of B, and how many groups. Once there
+        # are many, those not met since are forgotten.
+        known: dict[str, tuple[bytes, bytes, int, int, int]] = {}
+        older: dict[str, tuple[bytes, bytes, int, int, int]] = {}
+
+        def entries(chunks: list[str]) -> list[tuple[bytes, bytes, int, int, int]]:
+            nonlocal known, older
+            if len(known) > CACHE_CHUNKS:
+                known, older = {}, known
+            absent = [c for c in chunks if c not in known]
+            if older:
+                known.update((c, older[c]) for c in absent if c in older)
+                absent = [c for c in absent if c not in older]
+            # Those that would be cut apart again where they meet go to the tokenizers together.
+            loose = [c for c in absent if not by_chunk or c[1:2].isspace() or c[-1].isspace()]
+            alone = set(loose)
+            for part, together in ((loose, 1), ([c for c in absent if c not in alone], TOGETHER)):
+                known.update(zip(part, aligned(part, together), strict=True))
+            out = [*map(known.__getitem__, chunks)]
+            for chunk in absent:
                 if len(chunk) > CACHE_KEY:
                     del known[chunk]
             return out
 
-        def run(data: np.ndarray, offsets: np.ndarray):
-            raw = data.tobytes()
-            texts = [raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in range(len(offsets) - 1)]
+        def aligned(chunks: list[str], together: int) -> list[tuple[bytes, bytes, int, int, int]]:
+            """Chunks are aligned in one pass over both sides: each ends where A and B end."""
+            parts = ["".join(chunks[i : i + together]) for i in range(0, len(chunks), together)]
             # sequential batches: in a task, threads add CPU time, not speed; no offsets are needed
-            ids_a = encode_a(texts)
-            ids_b = second.encode(texts, out_type=int, num_threads=1)
-            counts, groups, digests, keys, links = [], [], [], [], []
-            for i, (ia, ib) in enumerate(zip(ids_a, ids_b, strict=True)):
-                n, g, k, m = one(data[offsets[i] : offsets[i + 1]], ia, np.array(ib, np.int64))
-                counts.append(n)
-                groups.append(g if with_groups else None)
-                digests.append(hashlib.sha256(g.encode()).hexdigest() if n[0] else "")
-                keys.append(k)
-                links.append(m)
-            counts = np.array(counts, np.int64).reshape(-1, 4)
-            at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            flat_keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            flat_links = np.concatenate(links) if links else np.zeros(0, np.int64)
+            a, n_a = flat([e.ids for e in first.encode_batch_fast(parts, add_special_tokens=False)])
+            b, n_b = flat(second.encode([p[1:] for p in parts], out_type=int, num_threads=1))
+            raw = [c.encode() for c in chunks]
+            data, size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+            whole = np.add.reduceat(size, np.arange(0, len(size), together)) if len(size) else size
+            good = (sums(table_a.lengths[a], n_a) == whole) & (sums(table_b.lengths[b], n_b) == whole)
+            for table, ids, n in ((table_a, a, n_a), (table_b, b, n_b)):
+                unlike = table.join(ids[np.repeat(good, n)]) != data[np.repeat(good, whole)]
+                good[np.flatnonzero(good)[np.repeat(np.arange(good.sum()), whole[good])[unlike]]] = False
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            good = np.repeat(good, together)[: len(chunks)]
+            a_ends, b_ends, ends = np.cumsum(table_a.lengths[a]), np.cumsum(table_b.lengths[b]), np.cumsum(size[good])
+            a_upto = np.append(0, np.searchsorted(a_ends, ends, "right"))
+            b_upto = np.append(0, np.searchsorted(b_ends, ends, "right"))
+            if not (np.array_equal(a_ends[a_upto[1:] - 1], ends) and np.array_equal(b_ends[b_upto[1:] - 1], ends)):
+                return aligned(chunks, 1)
+            a_cut, b_cut, la, lb = align(a_ends, b_ends)
+            groups = np.searchsorted(a_cut, a_upto, "right")
+            places = marked(a, b, a_cut, b_cut)
+            if places is None:
+                text = []
+                for i, (g0, g1) in enumerate(pairwise(groups.tolist())):
+                    own = a[a_upto[i] : a_upto[i + 1]], b[b_upto[i] : b_upto[i + 1]]
+                    text.append((groups_text(*own, a_cut[g0:g1] - a_upto[i], b_cut[g0:g1] - b_upto[i]) + ";").encode())
+            else:
+                text = joined(MARKED.take(pa.array(places)), a_upto + b_upto).to_numpy(False).tolist()
+            keys = (a[la] * B_IDS + b[lb]).astype("<i8").tobytes()
+            links = [keys[i:j] for i, j in pairwise((8 * np.searchsorted(la, a_upto)).tolist())]
+            found = zip(text, links, np.diff(a_upto).tolist(), np.diff(b_upto).tolist(), np.diff(groups).tolist(), strict=True)
+            failed = [c for c, ok in zip(chunks, good.tolist(), strict=True) if not ok]
+            rest = iter(aligned(failed, 1) if together > 1 and failed else [(b"", b"", -1, 0, 0)] * len(failed))
+            return [next(found if ok else rest) for ok in good.tolist()]
+
+        def run(data: np.ndarray, offsets: np.ndarray):
+            data, offsets = spaced(data, offsets)
+            starts = chunk_starts(data, offsets) if by_chunk else offsets[:-1][offsets[1:] > offsets[:-1]]
+            cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+            chunks = pa.LargeStringArray.from_buffers(len(starts), cuts, pa.py_buffer(data)).dictionary_encode()
+            held = entries(chunks.dictionary.to_numpy(False).tolist())
+            codes = chunks.indices.to_numpy()
+            numbers = np.array([entry[2:] for entry in held], np.int64).reshape(-1, 3)
+            # Chunks of text i: from upto[i] to upto[i + 1], none if one of them failed.
+            upto = np.searchsorted(starts, offsets)
+            ok = sums(numbers[codes, 0] < 0, np.diff(upto)) == 0
+            codes = codes[np.repeat(ok, np.diff(upto))]
+            upto = np.append(0, np.cumsum(np.where(ok, np.diff(upto), 0)))
+            text, at = in_row(joined(pa.array([entry[0] for entry in held], pa.large_binary()).take(pa.array(codes)), upto))
+            links, links_at = in_row(joined(pa.array([entry[1] for entry in held], pa.large_binary()).take(pa.array(codes)), upto))
+            n_links = np.diff(links_at) // 8
+            # A text's distinct keys: sorted by text, then key.
+            row = np.repeat(np.arange(len(upto) - 1) << KEY_BITS, n_links)
+            pairs, times = _distinct(row | np.frombuffer(links, "<i8"))
+            found = pa.array(np.searchsorted(pairs, np.arange(len(upto)) << KEY_BITS).astype(np.int32))
+            groups = [text[i : max(i, j - 1)] for i, j in pairwise(at)]
+            n_a, n_b, n_groups = (sums(numbers[codes, k], np.diff(upto)) for k in range(3))
             return (
-                *[counts[:, i] for i in range(4)], groups, digests,
-                pa.ListArray.from_arrays(at, pa.array(flat_keys)), pa.ListArray.from_arrays(at, pa.array(flat_links)),
+                n_a, n_b, n_groups, n_links, [str(g, "ascii") if with_groups else None for g in groups],
+                [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(groups, n_a.tolist(), strict=True)],
+                pa.ListArray.from_arrays(found, pa.array(pairs & ((1 << KEY_BITS) - 1))),
+                pa.ListArray.from_arrays(found, pa.array(times.astype(np.int64))),
             )
 
-        def one(text: np.ndarray, a: np.ndarray, b: np.ndarray):
-            """``text``: the UTF-8 bytes of one text, without the leading space."""
-            size = len(text) + 1
-            if not len(text) or int(table_a.lengths[a].sum()) != size or int(table_b.lengths[b].sum()) != size:
-                return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-            joined_a, joined_b = table_a.join(a), table_b.join(b)
-            if joined_a[0] != 0x20 or joined_b[0] != 0x20 or not np.array_equal(joined_a[1:], text) or not np.array_equal(joined_b[1:], text):
-                return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-            ends_a, ends_b = np.cumsum(table_a.lengths[a]), np.cumsum(table_b.lengths[b])
-            a_cut, b_cut, la, lb = align(ends_a, ends_b)
-            keys, links = _distinct(a[la] * B_IDS + b[lb])
-            return (len(a), len(b), len(a_cut), len(la)), groups_text(a, b, a_cut, b_cut), keys, links.astype(np.int64)
-
         return run
 
     return make
 
 
+def flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
+def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the first ``n[0]`` values, the next ``n[1]`` and so on."""
+    return np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[np.append(0, np.cumsum(n))])
+
+
+_ENCODERS: dict[tuple[str, str, bool], Callable] = {}
+
+
 def align_texts(df: DataFrame, a_path: str, b_path: str, keep: Sequence[str], text: str = "text", with_groups: bool = False) -> DataFrame:
     """``keep`` columns plus n_a, n_b, n_groups, n_links, groups (null unless
     ``with_groups``), groups_sha256, and per text its distinct linked pair keys
     (A id * 65536 + B id) with their link counts."""
-    return map_texts(df, text, keep, ADDED, _encoder(a_path, b_path, with_groups))
+
+    def make():
+        key = a_path, b_path, with_groups
+        if key not in _ENCODERS:
+            _ENCODERS[key] = _encoder(*key)()
+        return _ENCODERS[key]
+
+    return map_texts(df, text, keep, ADDED, make)
 
 
 def link_counts(

@@ -140,6 +140,49 @@ def test_groups_text_of_uneven_slices():
     assert alignment.groups_text(a[:0], b[:0], a[:0], b[:0]) == ""
 
 
+def test_equal_chunks_are_aligned_once(monkeypatch):
+    """Both tokenizers get a chunk once, also across batches; a text with a chunk that B does not
+    give back has no tokens, its neighbours keep theirs; chunks met again are not forgotten."""
+    given = []
+
+    class Own(sentencepiece.SentencePieceProcessor):
+        def encode(self, texts, **options):
+            given.extend(texts)
+            return super().encode(texts, **options)
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Own)
+    monkeypatch.setattr(alignment, "CACHE_CHUNKS", 50)
+    run = alignment._encoder(A, B, True)()
+    rng = np.random.default_rng(5)
+    marks = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\xa0", "\u3000", "a", "word", "naïve", "7", "日", "😀", "<s>", "<|endoftext|>"]
+    for k in range(12):
+        texts = ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(40)]
+        texts += ["often met", "", "often \u2581 not" if k else "often", f"often q{k}", " ".join(f"w{k}x{i}" for i in range(60))]
+        raw = [t.encode() for t in texts]
+        found = run(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        for i, (na, nb, ng, nl, groups, links) in enumerate(brute(texts)):
+            assert [found[j][i] for j in range(5)] == [na, nb, ng, nl, groups], repr(texts[i])
+            assert found[5][i] == (hashlib.sha256(groups.encode()).hexdigest() if na else "")
+            keys = [x * alignment.B_IDS + y for x, y in sorted(links)]
+            assert found[6][i].as_py() == keys and found[7][i].as_py() == [links[pair] for pair in sorted(links)]
+        assert (found[0][42] == 0) == (k > 0) and found[0][40] > 0
+    assert sum("met" in text.split(" ") for text in given) == 1
+
+
+def test_a_model_that_reaches_over_spaces_gets_whole_texts(tmp_path):
+    model = alignment.sentencepiece_model_pb2.ModelProto()
+    with open(B, "rb") as file:
+        model.ParseFromString(file.read())
+    assert alignment.cuts_apart(B)
+    for change in (lambda m: setattr(m.pieces[5000], "piece", "a\u2581b"), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True)):
+        other = alignment.sentencepiece_model_pb2.ModelProto()
+        other.CopyFrom(model)
+        change(other)
+        path = tmp_path / "other.model"
+        path.write_bytes(other.SerializeToString())
+        assert not alignment.cuts_apart(str(path))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.link_counts(df, A, B, ["doc_id"]).count() == 0
