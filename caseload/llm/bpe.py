@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 
 from caseload.llm.common import map_texts
 
-# Keys held anew by a worker's memory, the longest that is remembered, pieces per query.
+# Keys held anew by a worker's memory, the longest that is remembered, pieces per query and
+# their squared lengths.
 CACHE_KEYS, CACHE_KEY = 250_000, 64
-PIECES_PER_QUERY = 60_000
+PIECES_PER_QUERY, WORK_PER_QUERY = 60_000, 100_000_000
 LONG_PIECE = 200
 
 # White space in the sense of the pattern.
@@ -114,8 +115,12 @@ class PieceCoder:
         queued = [i for i, token in enumerate(whole) if token is None and len(pieces[i]) <= LONG_PIECE]
         found = [_lists(np.array([whole[i] for i in ready], np.int32), np.ones(len(ready), np.int32))]
         found += [pa.array([self._by_heap(pieces[i])], IDS_TYPE) for i in long]
-        for at in range(0, len(queued), PIECES_PER_QUERY):
-            part = [pieces[i] for i in queued[at : at + PIECES_PER_QUERY]]
+        # A piece's lists of all rounds hold up to half the square of its length.
+        work = np.cumsum(np.fromiter((len(pieces[i]) ** 2 for i in queued), np.int64, len(queued)))
+        query = np.arange(len(queued)) // PIECES_PER_QUERY + work // WORK_PER_QUERY
+        ends = [*(np.flatnonzero(np.diff(query)) + 1).tolist(), len(queued)] if queued else []
+        for at, end in pairwise([0, *ends]):
+            part = [pieces[i] for i in queued[at:end]]
             start = _lists(self.byte_ids[np.frombuffer(b"".join(part), np.uint8)], np.array([*map(len, part)]))
             self.db.register("start", pa.table({"piece": np.arange(len(part), dtype=np.int32), "tokens": start}))
             found += self.db.sql(ENCODE).to_arrow_table().column("tokens").cast(IDS_TYPE).chunks

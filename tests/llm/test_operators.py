@@ -276,6 +276,19 @@ def test_byte_bpe_meets_each_key_of_a_batch_once(monkeypatch):
     assert sum(b" often" in pieces for pieces in asked) == 1
 
 
+def test_byte_bpe_queries_are_bounded_by_length(monkeypatch):
+    """Long pieces go to more queries than short ones, since their steps are kept by DuckDB."""
+    coder = bpe.PieceCoder(bpe.read_ranks(RANKS))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = np.random.default_rng(2)
+    pieces = ["".join(rng.choice([*"abcdefghij"], n)) for n in [3, 150, 7, 199, 260, 12, 150, 5] * 4]
+    rows, lists = [], bpe._lists
+    monkeypatch.setattr(bpe, "_lists", lambda flat, size: rows.append(size) or lists(flat, size))
+    monkeypatch.setattr(bpe, "WORK_PER_QUERY", 50_000)
+    assert coder.encode([p.encode() for p in pieces]).to_pylist() == [encoding.encode_ordinary(p) for p in pieces]
+    assert len(rows) > 4 and max((size[1:] ** 2).sum() for size in rows[1:]) <= 50_000
+
+
 def test_byte_bpe_of_texts_that_are_not_utf8(spark):
     """Bytes that are no UTF-8 are replaced text by text, as they were; neighbours are not touched."""
     df = spark.sql("SELECT 1 AS doc_id, CAST(X'616220C3' AS STRING) AS text").unionAll(
